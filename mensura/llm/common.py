@@ -68,7 +68,7 @@ def pieces(off: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int
     """Row ranges of about ``limit`` bytes; a longer row stands alone, whole."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+        j = max(i + 1, min(int(np.searchsorted(off, off[i] + limit, "right")) - 1, i + 32_768))
         yield i, j
         i = j
 
