@@ -34,14 +34,32 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+#: Where materialize() has written since the last release().
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: later jobs neither recompute it nor depend on one executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables written so far; only for callers whose results so far are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Lets Python workers on this machine import the package from where the driver did."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.common import doc_columns, each_piece, read, shared_dir, ship_package
+from mensura.llm.common import doc_columns, each_piece, new_path, read, ship_package
 
 BLOCK = 64
 ITEM = "struct<position:int,kind:string,text:string,digest:string,source:string,caption:string>"
@@ -188,11 +188,9 @@ def resolve(items: DataFrame, media: DataFrame, key: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a page with one figure, whose payload is the document's text."""
-    import uuid
-
     ship_package(spark)
     docs = doc_columns(read(spark, sf_dir, "documents"))
-    path = f"{shared_dir(spark).rstrip('/')}/media-{uuid.uuid4().hex}"
+    path = new_path(spark, "media")
     store(docs.select("text"), path)
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     n = F.octet_length(raw)
