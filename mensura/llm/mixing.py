@@ -125,7 +125,7 @@ def take(docs: DataFrame, most_repeats: int = 3) -> DataFrame:
     rows = rows.withColumns({"whole": F.floor(F.col("mine") / F.col("size")), "part": F.col("mine") % F.col("size")})
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("whole").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")))
     rows = rows.withColumn("cut", F.explode(copies))
-    beginning = F.regexp_substr("text", F.concat(F.lit(r"(?s)^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("cut").cast("string"), F.lit("}")))
+    beginning = F.regexp_substr("text", F.concat(F.lit(r"(?s)^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("cut").cast("string"), F.lit("}+")))
     text = F.when(F.col("cut") == 0, F.col("text")).otherwise(beginning)
     rows = rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows.withColumn("text", text)
     return rows.select(*docs.columns, "position").orderBy("position", "doc_id").drop("position")
