@@ -28,7 +28,9 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 #: Byte pairs that begin white space outside ASCII; texts with them are tokenized whole.
 WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 #: Entries that one worker's memory of tokenized words may have; it starts anew beyond them.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+#: A worker's tokenizers by path, kept from task to task with the words they know.
+_tokenizers: dict[str, UnitTokenizer] = {}
 
 
 class UnitTokenizer:
@@ -101,9 +103,10 @@ def _tokenized(path: str, size: int):
     out = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("rest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
+        if path not in _tokenizers:
+            _tokenizers[path] = UnitTokenizer(path)
+        tokenizer = _tokenizers[path]
         for rows, data, off in each_piece(batches, 1):
-            tokenizer = tokenizer or UnitTokenizer(path)
             ids, at = tokenizer(data, off)
             ids = ids.astype("<u4")
             crcs, rest = [], []
