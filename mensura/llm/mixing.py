@@ -74,7 +74,7 @@ def inverse_demand(share: F.Column, schedule: list[float]) -> F.Column:
     return found.otherwise(out)
 
 
-def curriculum(docs: DataFrame, most_repeats: int = 3, bucket_docs: int = 4000, schedules: list[list[float]] | None = None, seed: str = "mix") -> DataFrame:
+def curriculum(docs: DataFrame, most_repeats: int = 3, bucket_docs: int = 1000, schedules: list[list[float]] | None = None, seed: str = "mix") -> DataFrame:
     """What the mix takes of each document, and when.
 
     Returns doc_id, source, size, source_size, target, taken (words; a document's whole
