@@ -8,7 +8,8 @@ from its registers and exact set sizes, then confirmed on the full sets.
 
 A bucket's members are first compared with its least member (a star). Only buckets that
 the confirmed links leave in several components are compared further, and there only
-members of different components, in blocks: copies are never expanded into all pairs.
+members of different components, in blocks of rows whose sets lie side by side: nothing
+but links leaves a block, and copies are never expanded into all pairs.
 With 32 bands of 3, a pair at similarity 0.75 shares no band with probability 2.4e-8.
 
 Null and empty texts, and texts without words, have empty sets: they link with nothing and
@@ -126,16 +127,12 @@ def _likely(threshold: float):
 
 def _confirmed(share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def numbers(raw: bytes) -> np.ndarray:
-            six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-            return np.hstack([six, np.zeros((len(six), 2), np.uint8)]).view("<u8").ravel()
-
         for batch in batches:
             has, last = [], (None, None)
             for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if last[0] != a:
-                    last = (a, numbers(x.as_py()))
-                p, q = last[1], numbers(y.as_py())
+                    last = (a, _numbers(x.as_py()))
+                p, q = last[1], _numbers(y.as_py())
                 common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
                 has.append(100 * common >= share * (len(p) + len(q) - common))
             mask = pa.array(has, pa.bool_())
@@ -144,33 +141,64 @@ def _confirmed(share: int):
     return run
 
 
-def _across(threshold: float):
-    """Likely pairs of different components inside (bucket, block, block) groups that lie sorted in the partition."""
+def _numbers(raw: bytes) -> np.ndarray:
+    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return np.hstack([six, np.zeros((len(six), 2), np.uint8)]).view("<u8").ravel()
+
+
+def common_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sorted sets: a product of their incidence matrix for many pairs, part by part."""
+    if len(i) <= 4 * len(sets):
+        return np.array([len(sets[x]) + len(sets[y]) - len(np.unique(np.concatenate([sets[x], sets[y]]))) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    has = count[column] > 1
+    row, column = row[has], np.unique(column[has], return_inverse=True)[1]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        x, y = np.searchsorted(column, [c, c + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[x:y], column[x:y] - c] = 1
+        total += part @ part.T
+    return total[i, j].astype(np.int64)
+
+
+def _across(threshold: float, share: int):
+    """Links between different components inside (bucket, block, block) groups that lie sorted in the partition.
+
+    A pair is tried where its registers first agree in a band, and there only.
+    """
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        k, bi, bj, block, node, comp, rep, n = (t.column(c).to_numpy() for c in ("k", "bi", "bj", "block", "node", "component", "rep", "n"))
+    def links(t: pa.Table) -> pa.RecordBatch:
+        k, bi, bj, band, block, node, comp, rep, n = (t.column(c).to_numpy() for c in ("k", "bi", "bj", "band", "block", "node", "component", "rep", "n"))
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(len(t), -1)
+        raw = t.column("elements").to_pylist()
         edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]), [True]]))
-        last = np.repeat(edge[1:], np.diff(edge))
-        out = []
-        left = last - np.arange(len(t)) - 1
-        at = 0
-        while at < len(t):  # so many rows at a time that the pairs stay few
-            to = max(at + 1, int(np.searchsorted(np.cumsum(left[at:]), 200_000)) + at)
-            i = np.repeat(np.arange(at, to), left[at:to])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left[at:to]) - left[at:to], left[at:to])
-            has = (comp[i] != comp[j]) & (node[i] != rep[i]) & (node[j] != rep[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & ((bi[i] == bj[i]) | (block[i] != block[j]))
-            i, j = i[has], j[has]
-            for c in range(0, len(i), 8192):
-                x, y = i[c : c + 8192], j[c : c + 8192]
-                # Cheap first: the likelihood is only worked out where enough registers agree.
-                close = (regs[x] == regs[y]).sum(1) >= REGISTERS * (threshold - 0.1)
-                x, y = x[close], y[close]
-                if len(x):
-                    likely = joint_similarity(regs[x], regs[y], n[x], n[y]) >= threshold
-                    out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])])[:, likely])
-            at = to
-        found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
+        out = [np.zeros((2, 0), np.int64)]
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            left, right = [], []
+            for x in range(a, b - 1, 64):  # lines of the triangle, few at a time
+                i = np.repeat(np.arange(x, min(x + 64, b - 1)), b - 1 - np.arange(x, min(x + 64, b - 1)))
+                j = np.concatenate([np.arange(y + 1, b) for y in range(x, min(x + 64, b - 1))])
+                has = (comp[i] != comp[j]) & (node[i] != rep[i]) & (node[j] != rep[j]) & (100 * np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])) & ((bi[i] == bj[i]) | (block[i] != block[j]))
+                i, j = i[has], j[has]
+                if len(i):
+                    same = regs[i] == regs[j]
+                    has = (same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[i]) & (same.sum(1) >= REGISTERS * (threshold - 0.1))
+                    i, j = i[has], j[has]
+                if len(i):
+                    has = joint_similarity(regs[i], regs[j], n[i], n[j]) >= threshold
+                    left.append(i[has])
+                    right.append(j[has])
+            i, j = np.concatenate([*left, np.zeros(0, np.int64)]), np.concatenate([*right, np.zeros(0, np.int64)])
+            if len(i):
+                used, inverse = np.unique(np.concatenate([i, j]), return_inverse=True)
+                common = common_counts([_numbers(raw[x]) for x in used], inverse[: len(i)], inverse[len(i) :])
+                has = 100 * common >= share * (n[i] + n[j] - common)
+                out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])[:, has])
+        found = np.unique(np.concatenate(out, 1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,16 +207,16 @@ def _across(threshold: float):
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
             rows += len(batch)
-            if rows >= 20_000:
+            if rows >= 4 * BLOCK:
                 t = pa.concat_tables(held).combine_chunks()
                 keys = [t.column(c).to_numpy() for c in ("k", "bi", "bj")]
                 same = np.logical_and.reduce([x == x[-1] for x in keys])
                 cut = len(t) - int(np.argmin(same[::-1])) if not same.all() else 0
                 if cut:
-                    yield pairs(t.slice(0, cut))
+                    yield links(t.slice(0, cut))
                 held, rows = [t.slice(cut)], len(t) - cut
         if rows:
-            yield pairs(pa.concat_tables(held).combine_chunks())
+            yield links(pa.concat_tables(held).combine_chunks())
 
     return run
 
@@ -205,15 +233,15 @@ class NearDuplicates:
         full = self.signed.where("n > 0")
         classes = materialize(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "classes")
         nodes = classes.select("node", "n", "regs")
-        bands = classes.select("node", F.explode("bands").alias("k"))
+        bands = classes.select("node", F.posexplode("bands").alias("band", "k"))
         buckets = bands.groupBy("k").agg(F.min("node").alias("rep"), F.count("*").alias("members")).where("members > 1")
         rows = materialize(bands.join(buckets, "k"), "buckets")
         stars = rows.where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
         likely = materialize(self._likely(stars, nodes), "likely-stars")
-        links = materialize(self._confirm(likely, self._set_table(likely), "links"), "links")
+        sets = self._set_table(rows)
+        links = materialize(self._confirm(likely, sets, "links"), "links")
         parts = materialize(components(links), "components")
-        more = materialize(self._across(rows, nodes, parts), "likely-across")
-        found = self._confirm(more, self._set_table(more), "links-across")
+        found = materialize(self._across(rows, nodes, sets, parts), "links-across")
         of = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         joined = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
         joined = materialize(joined, "joined")
@@ -236,8 +264,9 @@ class NearDuplicates:
         near = pairs.join(b, "b").join(a, "a").where(f"100 * least(na, nb) >= {self.share} * greatest(na, nb)")
         return near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(self.estimate), "a long, b long")
 
-    def _set_table(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    def _set_table(self, rows: DataFrame) -> DataFrame:
+        """The sets of all nodes that share a bucket with another."""
+        wanted = rows.select(F.col("node").alias("doc_id")).distinct()
         texts = self.docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         return materialize(texts.mapInArrow(_sets, "node long, elements binary"), "sets")
 
@@ -245,15 +274,15 @@ class NearDuplicates:
         a, b = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
         return materialize(pairs.join(b, "b").join(a, "a").select("a", "b", "ea", "eb").mapInArrow(_confirmed(self.share), "a long, b long"), name)
 
-    def _across(self, rows: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    def _across(self, rows: DataFrame, nodes: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
         rows = rows.where("members > 2").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ = rows.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("k")
-        rows = rows.join(open_, "k").join(nodes, "node")
+        rows = rows.join(open_, "k").join(nodes.join(sets, "node"), "node")
         blocks = F.ceil(F.col("members") / BLOCK)
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-        rows = rows.select("k", "bi", "bj", "block", "node", "component", "rep", "n", "regs").repartition("k", "bi", "bj").sortWithinPartitions("k", "bi", "bj")
-        return rows.mapInArrow(_across(self.estimate), "a long, b long").distinct()
+        rows = rows.select("k", "bi", "bj", "band", "block", "node", "component", "rep", "n", "regs", "elements").repartition("k", "bi", "bj").sortWithinPartitions("k", "bi", "bj")
+        return rows.mapInArrow(_across(self.estimate, self.share), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
