@@ -96,7 +96,7 @@ def winners(ranking: DataFrame, classes: DataFrame | None, keys: list[str], name
     if classes is None:
         return top.groupBy("model").agg(F.count("*").alias("total"))
     top = top.join(classes.select(*keys, "quadrant"), keys, "left").withColumn("quadrant", F.coalesce("quadrant", F.lit("sin_clasificar")))
-    wide = top.groupBy("model").pivot("quadrant", names).agg(F.count("*"))
+    wide = top.groupBy("model").pivot("quadrant", names).agg(F.count("model"))
     return wide.join(top.groupBy("model").agg(F.count("*").alias("total")), "model").na.fill(0)
 
 
