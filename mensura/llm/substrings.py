@@ -28,8 +28,9 @@ from mensura.llm.bwt import repeated_starts
 from mensura.llm.common import RangeHash, doc_columns, each_piece, materialize, mix, read, ship_package
 
 GRAM = 48
-#: Different segments of an anchor beyond which its windows are counted by hash.
-MANY = 400
+#: Different segments of an anchor beyond which its windows are counted by hash: so many, of 752 bytes at
+#: most, are 3 MB, which a transform handles in about 200 MB of memory.
+MANY = 4096
 #: Bytes of segments that are transformed at once.
 TRANSFORM_BYTES = 1 << 20
 
