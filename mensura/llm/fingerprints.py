@@ -67,7 +67,7 @@ def _block(value: Column, bounds: list[int]) -> Column:
     lasts = F.array(*[F.lit(c[-1]).cast("long") for c in chunks])
     nested = F.array(*[F.array(*[F.lit(x).cast("long") for x in c]) for c in chunks])
     skipped = under(lasts)
-    return skipped * step + F.coalesce(under(F.get(nested, skipped)), F.lit(0))
+    return F.least(skipped * step + F.coalesce(under(F.get(nested, skipped)), F.lit(0)), F.lit(len(bounds)))
 
 
 def with_next(docs: DataFrame, sketch: str = "sketch", block_docs: int = 1000, most_blocks: int = 20_000) -> DataFrame:

@@ -58,7 +58,7 @@ def registers(elements: np.ndarray, edges: np.ndarray) -> np.ndarray:
     out = np.zeros((len(edges) - 1, REGISTERS), np.uint16)
     if not len(some):
         return out
-    spread, begin = mix(elements), edges[:-1][some]
+    spread, begin = mix(elements + BASE), edges[:-1][some]
     least = np.empty((len(some), REGISTERS), np.uint64)
     for k in range(REGISTERS):
         least[:, k] = np.minimum.reduceat((spread * _multipliers[k]) ^ (spread >> np.uint64(29)), begin)

@@ -32,7 +32,11 @@ KINDS = {
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Characters on each side that hold the words of a context.
 CONTEXT = 64
-ORDER = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+
+
+def _order() -> Column:
+    """A kind's place among the kinds."""
+    return F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
 
 
 def _passes(kind: Column, value: Column) -> Column:
@@ -122,7 +126,7 @@ def _printed(items: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents, with their columns, where the kind in angle brackets stands for each span; overlapping spans are one, of the first's kind."""
-    spans = all_spans(docs).withColumn("order", ORDER)
+    spans = all_spans(docs).withColumn("order", _order())
     by_start = Window.partitionBy("doc_id", "h").orderBy("start", "order", "end")
     reached = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(reached.isNull() | (F.col("start") >= reached), 1).otherwise(0))
@@ -141,7 +145,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    spans = all_spans(docs).withColumn("order", ORDER)
+    spans = all_spans(docs).withColumn("order", _order())
     item = F.struct("start", "order", "end", "kind")
     count = lambda kind: F.count_if(F.col("base") & (F.col("kind") == kind)).alias(f"n_{kind}")
     of_doc = spans.groupBy("doc_id", "h").agg(*[count(k) for k in KINDS], F.array_sort(F.collect_list(F.when(F.col("base"), item))).alias("own"), F.array_sort(F.collect_list(item)).alias("every"))
