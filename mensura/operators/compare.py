@@ -24,7 +24,7 @@ def improvement(report: DataFrame, champion: str, challenger: str, keys: list[st
     fair = F.coalesce((F.col("coverage_a") > 0) & (F.col("coverage_a") == F.col("coverage_b")), F.lit(False))
     gain = F.when(fair, F.col("wape_a") - F.col("wape_b"))
     rows = wide.withColumn("gain", gain)
-    q = lambda p: F.round(F.percentile("gain", F.lit(p)), 6)
+    q = lambda p: F.round(F.percentile("gain", F.lit(p)) * (1 + 1e-10), 6)
     return rows.groupBy(*by).agg(F.count("*").alias("series"), F.count_if(F.col("gain").isNull()).alias("not_comparable"), F.count_if(F.col("gain") > 0).alias("wins"), F.round(F.try_divide(100.0 * F.count_if(F.col("gain") > 0), F.count("gain")), 1).alias("percent_wins"), q(0.5).alias("median"), q(0.25).alias("p25"), q(0.75).alias("p75"))
 
 

@@ -14,7 +14,7 @@ def _position(models: list[str]) -> Column:
 
 def best_overall(report: DataFrame, models: list[str], keys: list[str], fallback: str) -> DataFrame:
     """keys, model: least mean MASE over all cuts; the fallback where none can be scored."""
-    means = mase(report, models, keys).groupBy(*keys, "model").agg(F.round(F.avg("mase"), 9).alias("m"))
+    means = mase(report, models, keys).groupBy(*keys, "model").agg(F.round(F.avg("mase") * (1 + 1e-10), 9).alias("m"))
     order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("m"), _position(models))
     top = means.withColumn("k", F.row_number().over(order)).where("k = 1")
     return top.select(*keys, F.when(F.col("m").isNull(), fallback).otherwise(F.col("model")).alias("model"))
@@ -51,7 +51,7 @@ def ranked(report: DataFrame, models: list[str], keys: list[str], fallback: str,
         group = ["quadrant"]
         of = lambda d: d.join(quadrants.select(*keys, "cut", "quadrant"), [*keys, "cut"], "left").withColumn("quadrant", F.coalesce("quadrant", F.lit("sin_actividad")))
         seen, options = of(seen), of(options)
-    means = seen.groupBy(*group, "cut", "model").agg(F.round(F.avg("mase"), 9).alias("m"))
+    means = seen.groupBy(*group, "cut", "model").agg(F.round(F.avg("mase") * (1 + 1e-10), 9).alias("m"))
     rows = options.join(means, [*group, "cut", "model"], "left")
     per = Window.partitionBy(*keys, "cut")
     blind = F.count("m").over(per) == 0

@@ -62,15 +62,15 @@ for _name, _source, _keys in (("p", "facts", "product_id"), ("c", "cell", "categ
         left join {_name}_scale sc on {_on.replace('x.', 'sc.')} and sc.cut = cuts.cut"""
     PARTS[f"{_name}_long"] = f'select {_keys}, cut, horizon, month, "real", scale, m.model, case m.model when \'SeasonalNaive\' then "SeasonalNaive" when \'WindowAverage\' then "WindowAverage" else "LastValue" end pred, pos from {_name}_report cross join (values (\'SeasonalNaive\', 1), (\'WindowAverage\', 2), (\'LastValue\', 3)) m(model, pos)'
 PARTS["c_mase"] = 'select category, lab, cut, model, pos, round(avg(abs("real" - pred)) / nullif(max(scale), 0), 9) mase from c_long group by all'
-PARTS["c_best"] = "select category, lab, case when m is null then 'SeasonalNaive' else model end model from (select category, lab, model, pos, round(avg(mase), 9) m from c_mase group by all) qualify row_number() over (partition by category, lab order by m nulls last, pos) = 1"
+PARTS["c_best"] = "select category, lab, case when m is null then 'SeasonalNaive' else model end model from (select category, lab, model, pos, round(avg(mase) * 1.0000000001::double, 9) m from c_mase group by all) qualify row_number() over (partition by category, lab order by m nulls last, pos) = 1"
 PARTS["c_seen"] = 'select category, lab, cuts.cut, s.cut source, model, pos, round(avg(abs("real" - pred)) / nullif(max(scale), 0), 9) mase from c_long s join cuts on s.cut < cuts.cut and s.month <= cuts.cut group by all'
 PARTS["c_options"] = "select distinct category, lab, cut, model, pos from c_long"
 PARTS["c_rank"] = """select category, lab, cut, model, cast(row_number() over (partition by category, lab, cut order by case when n = 0 then lead else 0 end, m nulls last, pos) - 1 as integer) rank from
-    (select o.*, m, count(m) over (partition by category, lab, cut) n, case when model = 'SeasonalNaive' then 0 else 1 end lead from c_options o left join (select category, lab, cut, model, round(avg(mase), 9) m from c_seen group by all) using (category, lab, cut, model))"""
+    (select o.*, m, count(m) over (partition by category, lab, cut) n, case when model = 'SeasonalNaive' then 0 else 1 end lead from c_options o left join (select category, lab, cut, model, round(avg(mase) * 1.0000000001::double, 9) m from c_seen group by all) using (category, lab, cut, model))"""
 PARTS["quad"] = "select category, lab, cut, quadrant from cls_at where cut < date '2001-10-01'"
 PARTS["q_rank"] = """select category, lab, cut, model, cast(row_number() over (partition by category, lab, cut order by case when n = 0 then lead else 0 end, m nulls last, pos) - 1 as integer) rank from
     (select o.*, m, count(m) over (partition by category, lab, cut) n, case when model = 'SeasonalNaive' then 0 else 1 end lead from (select o.*, coalesce(quadrant, 'sin_actividad') quadrant from c_options o left join quad using (category, lab, cut)) o
-    left join (select coalesce(quadrant, 'sin_actividad') quadrant, cut, model, round(avg(mase), 9) m from c_seen left join quad using (category, lab, cut) group by all) using (quadrant, cut, model))"""
+    left join (select coalesce(quadrant, 'sin_actividad') quadrant, cut, model, round(avg(mase) * 1.0000000001::double, 9) m from c_seen left join quad using (category, lab, cut) group by all) using (quadrant, cut, model))"""
 PARTS["c_casc"] = "select category, lab, cut, horizon, min_by(pred, rank) pred, min_by(model, rank) used_model, min(rank) used_rank from (select l.category, l.lab, l.cut, l.horizon, l.pred, case when l.pred is not null then l.model end model, case when l.pred is not null then rank end rank from c_long l join c_rank using (category, lab, cut, model)) group by all"
 PARTS["c_series"] = 'select model, category, lab, horizon, round(coalesce(sum(abs("real" - pred)), 0) / nullif(sum(abs("real")), 0), 6) wape, round(coalesce(sum(pred - "real"), 0) / nullif(sum(abs("real")), 0), 6) bias, count(*) n, round(avg(cast(pred is not null as integer)), 6) coverage from c_long group by all'
 PARTS["c_int"] = """select r.*, "WindowAverage" + q10 "P10", "WindowAverage" + q50 "P50", "WindowAverage" + q90 "P90" from c_report r left join (select e.category, e.horizon, cuts.cut, quantile_cont(e, 0.1) q10, quantile_cont(e, 0.5) q50, quantile_cont(e, 0.9) q90
@@ -182,7 +182,7 @@ _BODIES = {
     "quadrant_winners": "select cut, quadrant, min(model) model from q_rank join quad using (category, lab, cut) where rank = 0 group by all",
     "wape_by_series": "select model, category, lab, horizon, wape, bias, n, coverage from c_series",
     "head_to_head": _levels("c_long", {"series": "category, lab", "category": "category", "total": ""}, "contender"),
-    "head_to_head_category": f"select category, horizon, model contender, {WAPE}, any_value(weight) weight from c_long join (select category, horizon, round(100 * sum(abs(\"real\")) / sum(sum(abs(\"real\"))) over (partition by horizon), 4) weight from c_report group by all) using (category, horizon) group by category, horizon, model",
+    "head_to_head_category": f"select category, horizon, model contender, {WAPE}, any_value(weight) weight from c_long join (select category, horizon, round(100 * sum(abs(\"real\")) / sum(sum(abs(\"real\"))) over (partition by horizon), 4) weight from c_report group by category, horizon) using (category, horizon) group by category, horizon, model",
     "interval_coverage": 'select horizon, round(avg(cast("real" >= "P10" and "real" <= "P90" as integer)) filter ("P10" is not null), 6) coverage, round(avg(cast("real" >= "P10" and "real" <= "P90" as integer)) filter ("P10" is not null) - 0.8, 6) deviation, round(sum("P90" - "P10") / nullif(sum(abs("real")) filter ("P10" is not null), 0), 6) relative_width, count("P10") n from c_int group by 1',
     "crossing_rate": 'select horizon, round(avg(cast("P50" < "P10" or "P90" < "P50" as integer)), 6) crossing_rate, count("P10") n from c_int group by 1',
     "pinball": 'select horizon, quantile, round(sum(greatest(q * ("real" - v), (q - 1) * ("real" - v))) / nullif(sum(abs("real")), 0), 6) pinball, count(*) n from (select horizon, "real", unnest([\'P10\', \'P50\', \'P90\']) quantile, unnest([0.1, 0.5, 0.9]::double[]) q, unnest(["P10", "P50", "P90"]) v from c_int) where v is not null group by all',
@@ -195,7 +195,7 @@ _BODIES = {
     "stratified_sample": "select product_id, quadrant from (select product_id, case when n = 0 then 'sin_actividad' when adi < 1.32 and cv2 < 0.49 then 'suave' when adi < 1.32 then 'erratica' when cv2 < 0.49 then 'intermitente' else 'lumpy' end quadrant from (select product_id, count(y) n, (datediff('month', greatest(date '1998-11-01', coalesce(min(month) filter (units > 0), date '1998-11-01')), date '2001-10-01') + 1) / nullif(count(y), 0) adi, pow(stddev_pop(y) / avg(y), 2) cv2 from (select *, case when units > 0 and month >= date '1998-11-01' then units end y from facts where month <= date '2001-10-01') group by 1 having max(month) >= date '1998-11-01')) qualify row_number() over (partition by quadrant order by md5('42-' || product_id), product_id) <= 20",
 }
 for _group, _name in (("horizon", "improvement"), ("category, horizon", "improvement_by_category")):
-    _BODIES[_name] = f"""select {_group}, count(*) series, count(*) filter (g is null) not_comparable, count(*) filter (g > 0) wins, round(100.0::double * count(*) filter (g > 0) / nullif(count(g), 0), 1) percent_wins, round(quantile_cont(g, 0.5), 6) median, round(quantile_cont(g, 0.25), 6) p25, round(quantile_cont(g, 0.75), 6) p75
+    _BODIES[_name] = f"""select {_group}, count(*) series, count(*) filter (g is null) not_comparable, count(*) filter (g > 0) wins, round(100.0::double * count(*) filter (g > 0) / nullif(count(g), 0), 1) percent_wins, round(quantile_cont(g, 0.5) * 1.0000000001::double, 6) median, round(quantile_cont(g, 0.25) * 1.0000000001::double, 6) p25, round(quantile_cont(g, 0.75) * 1.0000000001::double, 6) p75
         from (select a.category, a.lab, a.horizon, case when a.coverage > 0 and a.coverage = b.coverage then a.wape - b.wape end g from c_series a join c_series b using (category, lab, horizon) where a.model = 'SeasonalNaive' and b.model = 'WindowAverage') group by all"""
 
 #: Queries whose doubles both engines push off the borders of rounding, where exact halves are common, before they round.
