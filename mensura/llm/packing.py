@@ -27,17 +27,29 @@ from mensura.llm.common import SPACE, RangeHash, doc_columns, each_piece, partit
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Byte pairs that begin white space outside ASCII; texts with them are tokenized whole.
 WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
-#: Entries that one worker's memory of tokenized words may have; it starts anew beyond them.
-CACHE_WORDS = 500_000
-#: A worker's tokenizers by path, kept from task to task with the words they know.
+#: Bytes of text whose units are looked up together.
+TOKENIZE_BYTES = 2 << 20
+#: Units that a worker's memory may have, about 40 bytes each; it starts anew beyond them.
+KNOWN_UNITS = 1_500_000
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+#: ASCII marks but the apostrophe, with which contractions begin.
+MARK = np.zeros(256, bool)
+MARK[[x for x in range(33, 127) if not ALNUM[x] and x != 39]] = True
+#: Units that stand in one string for the tokenizer, apart by its special token.
+UNITS_TOGETHER = 512
+#: A worker's tokenizers by path, kept from task to task.
 _tokenizers: dict[str, UnitTokenizer] = {}
 
 
 class UnitTokenizer:
     """Byte-level BPE by units: white space runs but for their last character, and that character with the word after it.
 
+    A word is cut once more where ASCII letters or digits meet ASCII marks but the apostrophe.
     The pre-tokenizer's pattern never matches across these borders, so the ids are
-    those of the whole text, and each distinct unit is encoded once.
+    those of the whole text, and each distinct unit is encoded once. Units go
+    to the tokenizer many in a string, apart by a special token, which it always splits
+    off first; where a text has that token's name, units go one by one, as ordinary text.
     """
 
     def __init__(self, path: str):
@@ -46,13 +58,33 @@ class UnitTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.splitter = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[int, tuple[int, ...]] = {}
+        added = self.splitter.get_added_tokens_decoder().items()
+        plain = [(i, x.content.encode()) for i, x in added if x.special and not (x.lstrip or x.rstrip or x.single_word)]
+        self.apart = plain[0] if plain and len(added) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Hashes of known units in order, and of each where its ids begin in ``flat`` and how many they are.
+        self.keys, self.begins, self.lengths, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_units(self, units: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All units' ids and how many each has; ``plain``: no text has a special token's name."""
+        if not (plain and self.apart):
+            found = self.encode([x.decode() for x in units])
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.int64, lengths.sum()), lengths
+        apart, name = self.apart
+        texts = [name.join([*units[i : i + UNITS_TOGETHER], b""]).decode() for i in range(0, len(units), UNITS_TOGETHER)]
+        parts = [np.array(x.ids, np.int64) for x in self.splitter.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([*parts, np.zeros(0, np.int64)])
+        at = np.flatnonzero(ids == apart)
+        return ids[ids != apart], np.diff(at, prepend=-1) - 1
+
     def __call__(self, data: np.ndarray, off: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, each row ending in ``end``, and the rows' offsets."""
         n, rows = len(data), len(off) - 1
@@ -64,24 +96,25 @@ class UnitTokenizer:
         if n > 1:
             border[1:] |= space[1:] & ~space[:-1]
             border[:-1] |= space[:-1] & ~space[1:] & ~first[1:n]
+            border[1:] |= MARK[data[1:]] & ALNUM[data[:-1]]
         start = np.flatnonzero(border)
         unit_end = np.append(start[1:], n)
         hashed = RangeHash(data)(start, unit_end) if n else np.zeros(0, np.uint64)
         unique, where, inverse = np.unique(hashed, return_index=True, return_inverse=True)
-        known, keys = self.known, unique.tolist()
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        missing = [i for i, k in enumerate(keys) if k not in known]
-        if missing:
-            at = where[missing]
-            parts = [raw[a:b].decode() for a, b in zip(start[at].tolist(), unit_end[at].tolist(), strict=True)]
-            for i, ids in zip(missing, self.encode(parts), strict=True):
-                known[keys[i]] = tuple(ids)
-        found = [known[k] for k in keys]
-        found.append((end,))
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int64, lengths.sum())
-        begins = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+        if len(self.keys) > KNOWN_UNITS:
+            self._forget()
+        place = np.searchsorted(self.keys, unique)
+        new = np.ones(len(unique), bool)
+        new[place < len(self.keys)] = self.keys[place[place < len(self.keys)]] != unique[place < len(self.keys)]
+        at = where[new]
+        units = [raw[a:b] for a, b in zip(start[at].tolist(), unit_end[at].tolist(), strict=True)]
+        ids, count = self.encode_units(units, not self.apart or self.apart[1] not in raw)
+        self.begins = np.insert(self.begins, place[new], len(self.flat) + np.cumsum(count) - count)
+        self.lengths = np.insert(self.lengths, place[new], count)
+        self.keys, self.flat = np.insert(self.keys, place[new], unique[new]), np.concatenate([self.flat, ids.astype(np.uint32)])
+        place = np.searchsorted(self.keys, unique)
+        flat = np.append(self.flat, np.uint32(end))
+        begins, lengths = np.append(self.begins[place], len(self.flat)), np.append(self.lengths[place], 1).astype(np.int64)
         # The end token is one more unit of each row.
         units_before = np.searchsorted(start, off)
         sequence = np.insert(inverse, units_before[1:], len(unique))
@@ -95,7 +128,7 @@ class UnitTokenizer:
                 parts = np.split(ids, row_off[1:-1])
                 for i, x in zip(whole, self.encode([raw[off[i] : off[i + 1]].decode() for i in whole]), strict=True):
                     parts[i] = np.array([*x, end], np.int64)
-                ids, row_off = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+                ids, row_off = np.concatenate(parts).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         return ids, row_off
 
 
@@ -106,7 +139,7 @@ def _tokenized(path: str, size: int):
         if path not in _tokenizers:
             _tokenizers[path] = UnitTokenizer(path)
         tokenizer = _tokenizers[path]
-        for rows, data, off in each_piece(batches, 1):
+        for rows, data, off in each_piece(batches, 1, TOKENIZE_BYTES):
             ids, at = tokenizer(data, off)
             ids = ids.astype("<u4")
             crcs, rest = [], []

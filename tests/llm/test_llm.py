@@ -12,6 +12,7 @@ import pytest
 
 from mensura.llm import fingerprints, media, mixing, neardup, packing, pii, ppm, quality, substrings, toxicity
 from mensura.llm.bwt import repeated_starts
+from mensura.llm.common import text_buffer
 from mensura.llm.linear import crc_of_id
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long"
@@ -144,6 +145,21 @@ def test_sketches_merge_and_estimate():
     assert abs(neardup.joint_similarity(one(a), one(b), np.array([1000]), np.array([1000]))[0] - 0.6) < 0.2
 
 
+def test_units_have_the_ids_of_whole_texts():
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, units = Tokenizer.from_file(path), packing.UnitTokenizer(path)
+    whole.encode_special_tokens = True
+    texts = ["a<|endoftext|>b  c", " ", "", "\n\n x \t\ty", "don't 'll it's,'s %'s x'", "abc###&&& 12.5% (é)é! é", "  lead", "trail \n", "a\u00a0 b\u2003\u2003c", "日本 語\u3000x", "\0 \r\n\r\n z", "x" * 3000]
+    for some in (texts, texts[1:], texts[::-1], [x for x in texts if "<|" not in x], texts[:1] * 3):
+        ids, at = units(*text_buffer(pa.array(some)))
+        for i, x in enumerate(whole.encode_batch(some, add_special_tokens=False)):
+            assert ids[at[i] : at[i + 1]].tolist() == [*x.ids, 0]
+
+
 def test_packing_keeps_every_token(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
