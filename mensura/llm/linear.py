@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.common import BASE, LOWER, RangeHash, each_piece, mix, words
+from mensura.llm.common import BASE, LOWER, RangeHash, each_piece, mix, text_buffer, words
 
 BITS = 20
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -95,42 +95,49 @@ def extract(df: DataFrame, features: Features, text: str = "text") -> DataFrame:
 
 
 class Rows:
-    """Sparse indicator rows: feature numbers of all rows in one array, with offsets."""
+    """Sparse indicator rows: feature numbers of all rows in one array, with offsets.
 
-    def __init__(self, features: list[bytes]):
-        parts = [np.frombuffer(x, "<u4") for x in features]
-        self.index = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        self.off = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+    Work on all rows goes block by block, so that the driver holds the numbers and little more.
+    """
+
+    def __init__(self, index: np.ndarray, off: np.ndarray):
+        self.index, self.off = index, off
 
     def __len__(self) -> int:
         return len(self.off) - 1
 
     def take(self, which: np.ndarray) -> Rows:
-        out = Rows([])
-        lengths = np.diff(self.off)[which]
-        out.off = np.concatenate([[0], np.cumsum(lengths)])
-        out.index = self.index[np.repeat(self.off[:-1][which] - out.off[:-1], lengths) + np.arange(out.off[-1])]
-        return out
+        parts = [self.index[a:b] for a, b in zip(self.off[which].tolist(), self.off[which + 1].tolist(), strict=True)]
+        return Rows(np.concatenate([self.index[:0], *parts]), np.concatenate([[0], np.cumsum(np.diff(self.off)[which])]))
 
     def row_numbers(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.off))
 
+    def blocks(self, size: int = 256) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Rows, their feature numbers, and for each of those its row in the block."""
+        for i in range(0, len(self), size):
+            off = self.off[i : i + size + 1]
+            yield slice(i, i + size), self.index[off[0] : off[-1]], np.repeat(np.arange(len(off) - 1), np.diff(off))
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row_numbers(), w[self.index], len(self))
+        out = np.zeros(len(self))
+        for rows, index, number in self.blocks():
+            out[rows] = np.bincount(number, w[index], len(out[rows]))
+        return out
 
     def limited(self, keep: np.ndarray) -> Rows:
         """The rows with the features alone that ``keep`` marks."""
-        out, has = Rows([]), keep[self.index]
-        out.index = self.index[has]
-        out.off = np.concatenate([[0], np.cumsum(has)])[self.off]
-        return out
+        has = keep[self.index]
+        return Rows(self.index[has], np.searchsorted(np.flatnonzero(has), self.off))
 
 
 def log_count_ratios(rows: Rows, y: np.ndarray, smoothing: float = 1.0, least_rows: int = 3, least_ratio: float = 0.0) -> np.ndarray:
     """Per feature the log of its share in positive over its share in negative rows; 0 for rare or flat ones."""
-    numbers, width = rows.row_numbers(), 1 << BITS
-    pos = np.bincount(rows.index, y[numbers], width)
-    seen = np.bincount(rows.index, minlength=width)
+    width = 1 << BITS
+    pos, seen = np.zeros(width), np.zeros(width, np.int64)
+    for part, index, number in rows.blocks():
+        pos += np.bincount(index, y[part][number], width)
+        seen += np.bincount(index, minlength=width)
     p, q = smoothing + pos, smoothing + seen - pos
     r = np.log(p / p[seen > 0].sum() if len(rows.index) else p) - np.log(q / q[seen > 0].sum() if len(rows.index) else q)
     r[(seen < least_rows) | (np.abs(r) < least_ratio)] = 0
@@ -221,6 +228,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_columns: list[str]
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(c).cast("int").alias(c) for c in label_columns])
     rows = rows.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")
-    table = extract(texts, features).toArrow().sort_by("doc_id")
+    table = extract(texts, features).toArrow().sort_by("doc_id").combine_chunks()
     y = np.array([table.column(c).to_numpy(zero_copy_only=False) for c in label_columns], float).reshape(len(label_columns), -1)
-    return Rows(table.column("features").to_pylist()), y
+    data, off = text_buffer(pa.concat_arrays([pa.array([], table.schema.field("features").type), *table.column("features").chunks]))
+    return Rows(data[off[0] : off[-1]].view("<u4"), (off - off[0]) // 4), y
