@@ -267,6 +267,23 @@ def test_automaton_equals_plain_matching():
     assert machine.score(data, np.array([0, len(data)]), segment=50)[0] == pytest.approx(total, abs=1e-2)
 
 
+def test_language_model_has_every_context(spark):
+    """Scores are those of one automaton of all contexts of six occurrences, more than 80,000 here; held-out and odd rows too."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(str, rng.integers(0, 10, 20_000))) for _ in range(60)] + [None, "", "Zz é", "012345" * 40]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    held = F.pmod("doc_id", F.lit(7)) == 2
+    whole = ppm.train(rows.where(~held), most_contexts=300_000)
+    assert 100_000 < len(whole.log10) < 300_000
+    import pyarrow as pa
+
+    want = whole.score(*text_buffer(pa.array([t or "" for t in texts])))
+    got = {r.doc_id: r.score for r in ppm.score(rows, held, chunk_bytes=200_000).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), rel=1e-5, abs=1e-4)
+
+
 def test_media_round_trip_and_sequences(spark):
     assert media.decode(media.encode(bytes(range(64)))) == bytes(range(64))
     items = media.parse('<p>One<figure><img src="media:ab" alt="x"><figcaption>A <b>cap</b></figcaption></figure><p>Two<script>no</script><img src="u.png" alt="alt">')
