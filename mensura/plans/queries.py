@@ -46,12 +46,6 @@ def cell_facts(spark, d):
     return lines.groupBy(*CELL, "month").agg(F.sum("quantity").alias("units"))
 
 
-def sparse_cell_facts(spark, d):
-    """The same without every seventh product's early lines and most small lines: late births and gaps."""
-    lines = sale_lines(spark, d).where("not (product_id % 7 = 0 and month < date'2000-09-01') and product_id % 3 = 0 and quantity > 45").join(catalog(spark, d), "product_id")
-    return lines.groupBy(*CELL, "month").agg(F.sum("quantity").alias("units"))
-
-
 def report(spark, d, keys=("product_id",), rows=None):
     rows = net(spark, d).select("product_id", "month", "units") if rows is None else rows
     p = panel.dense(rows, list(keys), UNTIL)
@@ -59,7 +53,7 @@ def report(spark, d, keys=("product_id",), rows=None):
 
 
 def cell_report(spark, d):
-    return report(spark, d, CELL, sparse_cell_facts(spark, d))
+    return report(spark, d, CELL, cell_facts(spark, d))
 
 
 def labelled(spark, d):
@@ -125,11 +119,7 @@ def fingerprint(spark, d):
 
 @query
 def births_deaths(spark, d):
-    return facts.births_and_deaths(sparse_client_pairs(spark, d), UNTIL)
-
-
-def sparse_client_pairs(spark, d):
-    return net(spark, d).where("not (product_id % 5 = 0 and month > date'1999-06-01')")
+    return facts.births_and_deaths(net(spark, d), UNTIL)
 
 
 @query
@@ -159,12 +149,12 @@ def backtest_naive(spark, d):
 
 @query
 def croston_tsb(spark, d):
-    return rounded(panel.intermittent_states(panel.dense(sparse_cell_facts(spark, d), CELL, UNTIL), CELL))
+    return rounded(panel.intermittent_states(panel.dense(cell_facts(spark, d), CELL, UNTIL), CELL))
 
 
 @query
 def classify_series(spark, d):
-    return rounded(classify.classify(sparse_cell_facts(spark, d), CELL, UNTIL))
+    return rounded(classify.classify(cell_facts(spark, d), CELL, UNTIL))
 
 
 @query
@@ -174,13 +164,13 @@ def classify_products(spark, d):
 
 @query
 def classify_by_cut(spark, d):
-    rows = sparse_cell_facts(spark, d)
+    rows = cell_facts(spark, d)
     return rounded(classify.classify_by_cut(rows, CELL, panel.cuts(rows, UNTIL)))
 
 
 @query
 def quadrant_distribution(spark, d):
-    return classify.distribution(classify.classify(sparse_cell_facts(spark, d), CELL, UNTIL))
+    return classify.distribution(classify.classify(cell_facts(spark, d), CELL, UNTIL))
 
 
 @query
@@ -190,7 +180,7 @@ def stratified_sample(spark, d):
 
 @query
 def label_report(spark, d):
-    rows = classify.label(cell_report(spark, d), classify.classify(sparse_cell_facts(spark, d), CELL, UNTIL), CELL)
+    rows = classify.label(cell_report(spark, d), classify.classify(cell_facts(spark, d), CELL, UNTIL), CELL)
     return rounded(rows.groupBy("quadrant", "horizon").agg(F.count("*").alias("n"), F.sum("real").alias("real")))
 
 
@@ -208,7 +198,7 @@ def by_category(spark, d):
 
 @query
 def by_quadrant(spark, d):
-    rows = classify.label(cell_report(spark, d), classify.classify(sparse_cell_facts(spark, d), CELL, UNTIL), CELL)
+    rows = classify.label(cell_report(spark, d), classify.classify(cell_facts(spark, d), CELL, UNTIL), CELL)
     return metrics.scores(metrics.long(rows.where(F.col("horizon").isin(*metrics.HORIZONS)), MODELS, ["quadrant", "horizon", "real"]), ["quadrant", "model", "horizon"])
 
 
@@ -322,7 +312,7 @@ def ranking_prospective(spark, d):
 
 
 def _quadrants(spark, d):
-    rows = sparse_cell_facts(spark, d)
+    rows = cell_facts(spark, d)
     return classify.classify_by_cut(rows, CELL, panel.cuts(rows, UNTIL)).select(*CELL, "cut", "quadrant")
 
 
@@ -363,7 +353,7 @@ def stability(spark, d):
 
 @query
 def winners(spark, d):
-    classes = classify.classify(sparse_cell_facts(spark, d), CELL, UNTIL)
+    classes = classify.classify(cell_facts(spark, d), CELL, UNTIL)
     return selection.winners(selection.ranked(cell_report(spark, d), MODELS, CELL, "SeasonalNaive"), classes, CELL, QUADRANTS)
 
 
