@@ -14,6 +14,7 @@ from mensura.sources.testdata import catalog, price_index, sale_lines
 UNTIL, CUT, YEAR_END = "2001-10-01", "2001-09-01", "2000-12-31"
 MODELS = ["SeasonalNaive", "WindowAverage", "LastValue"]
 CELL = ["category", "lab"]
+AHEAD = ["cut", "horizon"]
 QUADRANTS = ["suave", "erratica", "intermitente", "lumpy", "sin_actividad"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -412,35 +413,35 @@ def hier_levels(spark, d):
 
 
 def _hierarchy(spark, d):
-    """Seasonal-naive forecasts one month ahead of every node, aggregates moved off their leaves by a tenth."""
+    """Seasonal-naive forecasts of every node, cut and horizon, aggregates moved off their leaves by a tenth."""
     members = hierarchy.membership(catalog(spark, d))
-    one = report(spark, d).where("horizon = 1").select("product_id", "cut", F.col("SeasonalNaive").alias("pred"))
-    nodes = hierarchy.level_sums(one, members, "pred", "cut")
-    return members, nodes.withColumn("pred", F.when(F.col("level") == "product", F.col("pred")).otherwise(1.1 * F.col("pred"))).where("cut >= date'2001-07-01'")
+    rows = report(spark, d).select("product_id", *AHEAD, F.col("SeasonalNaive").alias("pred"))
+    nodes = hierarchy.level_sums(rows, members, "pred", *AHEAD)
+    return members, nodes.withColumn("pred", F.when(F.col("level") == "product", F.col("pred")).otherwise(1.1 * F.col("pred")))
 
 
 @query
 def coherence(spark, d):
     members, nodes = _hierarchy(spark, d)
-    return hierarchy.incoherent(nodes, members, "pred", ["cut"]).groupBy("cut").agg(F.count("*").alias("cells"))
+    return hierarchy.incoherent(nodes, members, "pred", AHEAD).groupBy(*AHEAD).agg(F.count("*").alias("cells"))
 
 
 @query
 def reconcile_bottom_up(spark, d):
     members, nodes = _hierarchy(spark, d)
-    return rounded(hierarchy.reconciled(nodes, members, "pred", ["cut"], "bottom_up"), 3)
+    return rounded(hierarchy.reconciled(nodes, members, "pred", AHEAD, "bottom_up"), 3)
 
 
 @query
 def reconcile_ols(spark, d):
     members, nodes = _hierarchy(spark, d)
-    return rounded(hierarchy.reconciled(nodes, members, "pred", ["cut"], "ols"), 3)
+    return rounded(hierarchy.reconciled(nodes, members, "pred", AHEAD, "ols"), 3)
 
 
 @query
 def reconcile_wls(spark, d):
     members, nodes = _hierarchy(spark, d)
-    return rounded(hierarchy.reconciled(nodes, members, "pred", ["cut"], "wls_struct"), 3)
+    return rounded(hierarchy.reconciled(nodes, members, "pred", AHEAD, "wls_struct"), 3)
 
 
 @query

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from mensura.plans.oracle import ORACLE_SQL
-from mensura.plans.queries import CELL, QUERIES, cell_facts
+from mensura.plans.queries import AHEAD, CELL, QUERIES, cell_facts, report
 from mensura.sources.testdata import sale_lines
 
 D = "/root/testdata/sf0.001"
@@ -41,3 +41,12 @@ def test_cells_have_every_unit(spark):
     cells = cell_facts(spark, D).agg({"units": "sum"}).first()[0]
     assert cells == sale_lines(spark, D).agg({"quantity": "sum"}).first()[0]
     assert QUERIES["croston_tsb"](spark, D).select(*CELL).distinct().count() == cell_facts(spark, D).select(*CELL).distinct().count()
+
+
+def test_every_cut_and_horizon_is_reconciled(spark):
+    rows = report(spark, D).groupBy(*AHEAD).agg({"SeasonalNaive": "sum"}).collect()
+    want = {(r[0], r[1]): r[2] for r in rows}
+    assert len({c for c, _ in want}) == 18 and {h for _, h in want} == set(range(1, 13))
+    assert {(r.cut, r.horizon) for r in QUERIES["coherence"](spark, D).collect()} == set(want)
+    total = QUERIES["reconcile_bottom_up"](spark, D).where("level = 'total'").collect()
+    assert {(r.cut, r.horizon): r.pred for r in total} == pytest.approx(want, abs=1e-2)
