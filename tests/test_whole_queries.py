@@ -50,3 +50,8 @@ def test_every_cut_and_horizon_is_reconciled(spark):
     assert {(r.cut, r.horizon) for r in QUERIES["coherence"](spark, D).collect()} == set(want)
     total = QUERIES["reconcile_bottom_up"](spark, D).where("level = 'total'").collect()
     assert {(r.cut, r.horizon): r.pred for r in total} == pytest.approx(want, abs=1e-2)
+
+
+@pytest.mark.parametrize("name", ["contract_json", "contract_ingest"])
+def test_all_months_are_exported(spark, name):
+    check(spark, name)
