@@ -2,7 +2,7 @@
 
 Base matches of four kinds are the seeds. The words around a seed induce lexical patterns
 (the word before, the two words before, the word after). Patterns and instances, seeds and
-other tokens with digits or @, form a graph that is scored in rounds: a pattern's score for
+all other tokens with a digit or @ (neighbouring tokens of digits are one), form a graph that is scored in rounds: a pattern's score for
 a kind is the smoothed share of its instances' confidence, an instance's confidence the
 noisy-or of its patterns' scores. Tokens of high confidence are spans too; base spans stay.
 
@@ -30,6 +30,11 @@ KINDS = {
 }
 #: A token that could be an identifier: it has a digit or @.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_DIGITS = r"[()+./-]*+[0-9][0-9()./-]*+"
+#: Neighbouring tokens of digits, as of a phone in groups.
+RUN = rf"(?<![^\x20\x09-\x0D]){_DIGITS}(?:[\x20\x09]++{_DIGITS})++(?=[\x20\x09-\x0D\"')\]}}>,;:!?]|\z)"
+#: Kinds of candidates.
+CANDIDATES = ("token", "run")
 #: Characters on each side that hold the words of a context.
 CONTEXT = 64
 
@@ -52,10 +57,10 @@ def _passes(kind: Column, value: Column) -> Column:
 
 
 def raw_matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, kind, i, gap, value, left, right): matches in order, with what lies before each; kind token for candidates."""
+    """(doc_id, h, kind, i, gap, value, left, right): matches in order, with what lies before each; kinds token and run for candidates."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text")).where(F.col("text").rlike("[0-9@]"))
-    patterns = KINDS | {"token": TOKEN}
+    patterns = KINDS | {"token": TOKEN, "run": RUN}
     for kind, pattern in patterns.items():
         found = F.regexp_extract_all("text", F.lit(pattern), 0)
         docs = docs.withColumn(f"m_{kind}", F.when(F.contains("text", F.lit("@")), found) if kind == "email" else F.when(F.contains("text", F.lit("+")), found) if kind == "phone" else found)
@@ -71,9 +76,9 @@ def instances(docs: DataFrame) -> DataFrame:
     rows = raw_matches(docs).dropDuplicates(["doc_id", "h", "kind", "i"])
     in_order = Window.partitionBy("doc_id", "h", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.repartition("doc_id", "h").withColumn("end", F.sum(F.col("gap") + F.length("value")).over(in_order)).withColumn("start", F.col("end") - F.length("value"))
-    rows = rows.where((F.col("kind") == "token") | _passes(F.col("kind"), F.col("value")))
+    rows = rows.where(F.col("kind").isin(*CANDIDATES) | _passes(F.col("kind"), F.col("value")))
     # A candidate is a token without the punctuation around it.
-    token = F.col("kind") == "token"
+    token = F.col("kind").isin(*CANDIDATES)
     lead = F.length(F.regexp_extract("value", r"^[\"'(\[{<]*", 0))
     trail = F.length(F.regexp_extract("value", r"[\"')\]}>.,;:!?]*+$", 0))
     rows = rows.withColumns({"start": F.when(token, F.col("start") + lead).otherwise(F.col("start")), "end": F.when(token, F.col("end") - trail).otherwise(F.col("end")), "value": F.when(token, F.substring("value", lead + 1, F.length("value") - lead - trail)).otherwise(F.col("value"))})
@@ -81,8 +86,11 @@ def instances(docs: DataFrame) -> DataFrame:
     base_end, base_start = F.when(~token, F.col("end")), F.when(~token, F.col("start"))
     rows = rows.withColumns({"reached": F.max(base_end).over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "next_base": F.min(base_start).over(by_start.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
     free = (F.coalesce("reached", F.lit(-1)) <= F.col("start")) & (F.col("next_base").isNull() | (F.col("next_base") >= F.col("end")))
-    useful = (F.length("value") >= 5) & (F.length(F.regexp_replace("value", "[^0-9@]", "")) >= 3)
-    rows = rows.where(~token | (free & useful))
+    rows = rows.where(~token | (free & F.col("value").rlike("[0-9@]")))
+    # A token in a run that overlaps no base span is no candidate of its own.
+    until = Window.partitionBy("doc_id", "h").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("run_end", F.max(F.when(F.col("kind") == "run", F.col("end"))).over(until))
+    rows = rows.where((F.col("kind") != "token") | F.col("run_end").isNull() | (F.col("run_end") <= F.col("start")))
     word = lambda side, pattern: F.nullif(F.lower(F.regexp_extract(side, pattern, 1)), F.lit(""))
     return rows.select(
         "doc_id", "h", F.when(~token, F.col("kind")).alias("kind"), "start", "end", "value", word("left", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D\"'(\[{<]*+$").alias("before"),

@@ -98,6 +98,13 @@ def test_patterns_find_unseen_identifiers(spark):
     assert [(r.doc_id, r.kind, r.start, r.end) for r in got] == [(99, "email", 19, 34)]
 
 
+def test_patterns_find_short_and_spaced_identifiers(spark):
+    rows = [(i, f"write to member id user{i}@host.example.com today", None, None, 0, 0) for i in range(20)] + [(i, f"call phone line +1 (988) 555-24{i} now", None, None, 0, 0) for i in range(20, 40)]
+    rows += [(98, "write to member id bob@intranet today", None, None, 0, 0), (99, "call phone line 0171 555 2485 now", None, None, 0, 0), (100, "room 12 34 is free", None, None, 0, 0)]
+    got = pii.all_spans(spark.createDataFrame(rows, SCHEMA)).where("not base").collect()
+    assert sorted((r.doc_id, r.kind, r.start, r.end) for r in got) == [(98, "email", 19, 31), (99, "phone", 16, 29)]
+
+
 def test_near_copies_by_brute_force(spark, docs):
     sets = {}
     for r in docs.collect():
