@@ -13,7 +13,8 @@ but links leaves a block, and copies are never expanded into all pairs.
 With 32 bands of 3, a pair at similarity 0.75 shares no band with probability 2.4e-8.
 
 Null and empty texts, and texts without words, have empty sets: they link with nothing and
-are kept. Rows with one doc_id are one node. An empty table gives an empty result. Other
+are kept. A node is a class of equal sets, whatever its rows' ids: texts that share an id, or have
+none, are apart. Of a component the least (doc_id, text hash) is kept, ids before null. An empty table gives an empty result. Other
 columns are ignored.
 """
 
@@ -88,7 +89,7 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: n
     return _GRID[np.where(possible, value, -np.inf).argmax(1)]
 
 
-SIGNED = "doc_id long, n long, k1 long, k2 long, regs binary, bands array<long>"
+SIGNED = "doc_id long, h long, n long, k1 long, k2 long, regs binary, bands array<long>"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +101,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = elements.astype("<u8")
         keys = np.array([np.frombuffer(hashlib.blake2b(raw[a:b], digest_size=16).digest(), "<i8") for a, b in zip(edges[:-1], edges[1:], strict=True)]).reshape(-1, 2)
         n = len(off) - 1
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(edges), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in regs], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band.ravel()))], names=["doc_id", "n", "k1", "k2", "regs", "bands"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(np.diff(edges), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in regs], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band.ravel()))], names=["doc_id", "h", "n", "k1", "k2", "regs", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,19 +227,19 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, share: int = 75, estimate: float = 0.5):
         ship_package(docs.sparkSession)
-        self.docs, self.share, self.estimate = doc_columns(docs), share, estimate
+        self.docs, self.share, self.estimate = doc_columns(docs).withColumn("h", F.xxhash64("text")), share, estimate
         self.signed = materialize(self.docs.mapInArrow(_signed, SIGNED), "signatures")
 
     def run(self) -> DataFrame:
         full = self.signed.where("n > 0")
-        classes = materialize(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "classes")
+        classes = materialize(full.groupBy("k1", "k2").agg(F.expr("min(named_struct('none', doc_id is null, 'doc_id', doc_id, 'h', h))").alias("least"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")).withColumn("node", F.col("k1")), "classes")
         nodes = classes.select("node", "n", "regs")
         bands = classes.select("node", F.posexplode("bands").alias("band", "k"))
         buckets = bands.groupBy("k").agg(F.min("node").alias("rep"), F.count("*").alias("members")).where("members > 1")
         rows = materialize(bands.join(buckets, "k"), "buckets")
         stars = rows.where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
         likely = materialize(self._likely(stars, nodes), "likely-stars")
-        sets = self._set_table(rows)
+        sets = self._set_table(rows, classes)
         links = materialize(self._confirm(likely, sets, "links"), "links")
         parts = materialize(components(links), "components")
         found = materialize(self._across(rows, nodes, sets, parts), "links-across")
@@ -253,10 +254,13 @@ class NearDuplicates:
             known = parts.union(joined.select("a", "a")).union(joined.select("b", "b")).distinct()
             final = known.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component")).distinct()
         self.links = links.union(found)
-        of_class = classes.select("k1", "k2", "node").join(final, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
-        out = self.signed.join(of_class, ["k1", "k2"], "left")
-        component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-        return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+        of_class = classes.select("k1", "k2", "node", "least").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        first = of_class.groupBy("component").agg(F.min("least").alias("first"))
+        out = self.signed.join(of_class.join(first, "component").select("k1", "k2", "first"), ["k1", "k2"], "left")
+        some = F.col("n") > 0
+        component = F.when(some, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+        kept = F.when(some, F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.h") == F.col("h"))).otherwise(F.lit(True))
+        return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "h")
 
     def _likely(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
@@ -264,10 +268,10 @@ class NearDuplicates:
         near = pairs.join(b, "b").join(a, "a").where(f"100 * least(na, nb) >= {self.share} * greatest(na, nb)")
         return near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(self.estimate), "a long, b long")
 
-    def _set_table(self, rows: DataFrame) -> DataFrame:
-        """The sets of all nodes that share a bucket with another."""
-        wanted = rows.select(F.col("node").alias("doc_id")).distinct()
-        texts = self.docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    def _set_table(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """The sets of all nodes that share a bucket with another, from the text of each class's least row."""
+        wanted = classes.join(rows.select("node").distinct(), "node", "left_semi").select("node", F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h"))
+        texts = self.docs.join(wanted, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text").dropDuplicates(["node"])
         return materialize(texts.mapInArrow(_sets, "node long, elements binary"), "sets")
 
     def _confirm(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -287,13 +291,15 @@ class NearDuplicates:
 
 def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
-    return NearDuplicates(docs, share).run()
+    return NearDuplicates(docs, share).run().drop("h")
 
 
 def one_of_each(docs: DataFrame, share: int = 75) -> DataFrame:
-    """The documents, with their columns, whose doc_id is their component's least; of repeated rows one."""
-    found = near_duplicates(docs, share).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == found["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
+    """The documents, with their columns, that are their component's kept rows; of rows equal in id and text one."""
+    found = NearDuplicates(docs, share).run().where("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    rows = rows.join(found, (F.col("_text") == F.col("_h")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_id")))
+    return rows.drop("_id", "_h", "_text").dropDuplicates(["doc_id", "text"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

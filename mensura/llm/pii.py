@@ -141,7 +141,7 @@ def redact(docs: DataFrame) -> DataFrame:
     spans = spans.withColumn("part", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     merged = spans.groupBy("doc_id", "h", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "order")).alias("kind"))
     of_doc = merged.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans")).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
-    rows = docs.join(of_doc, (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_h")), "left")
+    rows = docs.join(of_doc, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_h")), "left")
     begin = lambda i: F.coalesce(F.get("spans", i - 1)["end"], F.lit(0))
     pieces = F.transform("spans", lambda s, i: F.concat(F.substring("text", (begin(i) + 1).cast("int"), (s["start"] - begin(i)).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     text = F.concat(F.array_join(pieces, ""), F.substring("text", (F.element_at("spans", -1)["end"] + 1).cast("int"), F.length("text")))
@@ -157,6 +157,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct("start", "order", "end", "kind")
     count = lambda kind: F.count_if(F.col("base") & (F.col("kind") == kind)).alias(f"n_{kind}")
     of_doc = spans.groupBy("doc_id", "h").agg(*[count(k) for k in KINDS], F.array_sort(F.collect_list(F.when(F.col("base"), item))).alias("own"), F.array_sort(F.collect_list(item)).alias("every"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(of_doc, ["doc_id", "h"], "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    of_doc = of_doc.withColumnsRenamed({"doc_id": "_id", "h": "_h"})
+    rows = rows.join(of_doc, rows["doc_id"].eqNullSafe(of_doc["_id"]) & (rows["h"] == of_doc["_h"]), "left")
     none = F.array().cast("array<struct<start:bigint,order:bigint,end:bigint,kind:string>>")
     return rows.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_printed(F.coalesce("own", none)).cast("binary"), 256).alias("base_sha256"), _printed(F.coalesce("every", none)).alias("spans"))

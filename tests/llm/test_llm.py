@@ -125,6 +125,18 @@ def test_near_copies_by_brute_force(spark, docs):
     assert len(got) == docs.count() and sum(r.kept for r in got) < len(got) - 2
 
 
+def test_null_and_repeated_ids_lose_nothing(spark, tmp_path):
+    words = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(5)]
+    values = [(None, words[0] + " mail a.b@c.example.com"), (None, words[1]), (None, words[1]), (7, words[2]), (7, words[3]), (7, words[3]), (None, words[2] + " more"), (3, words[4]), (7, words[4]), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 7) for d, t in values], SCHEMA)
+    got = [(r.doc_id, r.text) for r in neardup.one_of_each(docs).collect()]
+    assert sorted(got, key=str) == sorted([values[0], values[1], values[3], values[4], values[7], values[9]], key=str)
+    assert sum("<EMAIL>" in (r.text or "") for r in pii.redact(docs).collect()) == 1
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = pii.query(spark, str(tmp_path)).collect()
+    assert len(rows) == len(values) and sum(r.n_email for r in rows) == 1
+
+
 def test_many_similar_texts_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)
     rng = random.Random(5)
