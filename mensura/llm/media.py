@@ -9,7 +9,8 @@ payloads, and equal ones are one row before it, so copies of one payload gather
 
 Null and empty texts have a payload of 64 zero bytes. Repeated rows are resolved each. An
 empty table gives an empty result. Other columns are ignored. HTML that is null is empty;
-broken HTML is parsed as far as it goes; a reference without a stored payload stays, unresolved.
+broken HTML is parsed as far as it goes; a reference keeps its whole address, and store_inline()
+puts the payload of a data: address into the media table; a reference without a stored payload stays, unresolved.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ class Interleaved(HTMLParser):
             source = given.get("src")
             if source:
                 self.flush()
-                self.items.append({"position": len(self.items), "kind": "media", "text": None, "digest": digest_of(source), "source": source if len(source) <= 2048 else source[:64], "caption": given.get("alt") or None})
+                self.items.append({"position": len(self.items), "kind": "media", "text": None, "digest": digest_of(source), "source": source, "caption": given.get("alt") or None})
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style", "template"):
@@ -120,8 +121,9 @@ def sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
 
 
 def encode(payload: bytes) -> bytes:
-    """A payload of a multiple of 64 bytes as a binary grey picture of that width."""
-    return b"P5\n%d %d\n255\n" % (BLOCK, len(payload) // BLOCK) + payload
+    """A payload as a binary grey picture: 64 wide if its bytes are a multiple of that, else one line."""
+    width = len(payload) if len(payload) % BLOCK else BLOCK
+    return b"P5\n%d %d\n255\n" % (width, len(payload) // width) + payload
 
 
 def decode(media: bytes) -> bytes:
@@ -159,9 +161,9 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError(f"the payload stored as {named} has digest {digest}")
             samples = np.frombuffer(payload, np.uint8)
             count = np.bincount(samples, minlength=256)
-            p = count[count > 0] / len(samples)
-            mean = float(count @ np.arange(256)) / len(samples)
-            spread = (float(count @ (np.arange(256) - mean) ** 2) / len(samples)) ** 0.5
+            p = count[count > 0] / max(len(samples), 1)
+            mean = float(count @ np.arange(256)) / max(len(samples), 1)
+            spread = (float(count @ (np.arange(256) - mean) ** 2) / max(len(samples), 1)) ** 0.5
             feature = f"mean={mean:.6f};deviation={spread:.6f};entropy={float(-(p * np.log2(p)).sum()) + 0.0:.6f};zeros={count[0]};levels={len(p)}"
             out.append((named, len(payload), digest, zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         if out:
@@ -174,6 +176,18 @@ def store(payload_texts: DataFrame, path: str) -> None:
     payload_texts.mapInArrow(_store, "digest string, media binary").write.option("compression", "zstd").parquet(path)
 
 
+def _inline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        payloads = [base64.b64decode(x.partition(";base64,")[2]) for x in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).hexdigest() for x in payloads], pa.string()), pa.array([encode(x) for x in payloads], pa.binary())], names=["digest", "media"])
+
+
+def store_inline(items: DataFrame, path: str) -> None:
+    """Adds the payloads that sequences() found in data: addresses to the media table, before it is resolved."""
+    found = items.select(F.explode("items").alias("item")).where("item.digest is not null and startswith(item.source, 'data:')").select("item.source").distinct()
+    found.mapInArrow(_inline, "digest string, media binary").write.mode("append").option("compression", "zstd").parquet(path)
+
+
 def describe(spark: SparkSession, path: str) -> DataFrame:
     """One row per digest of a media table, from the stored bytes."""
     media = spark.read.schema("digest string, media binary").parquet(path)

@@ -310,6 +310,19 @@ def test_media_round_trip_and_sequences(spark):
     assert media.parse(None) == []
 
 
+def test_long_addresses_and_inline_payloads(spark, tmp_path):
+    import base64
+
+    payload, url = bytes(range(256)) * 9 + b"end", "https://example.com/" + "a" * 5000
+    html = f'<p>x<img src="{url}"><img src="data:image/png;base64,{base64.b64encode(payload).decode()}">'
+    assert [x["source"] for x in media.parse(html) if x["kind"] == "media"][0] == url
+    items = media.sequences(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    media.store(spark.createDataFrame([("t",)], "text string"), f"{tmp_path}/media")
+    media.store_inline(items, f"{tmp_path}/media")
+    got = {r.position: r for r in media.resolve(items, media.describe(spark, f"{tmp_path}/media"), "page_id").collect()}
+    assert (got[1].payload_bytes, got[2].payload_bytes, got[2].payload_sha256) == (None, len(payload), hashlib.sha256(payload).hexdigest())
+
+
 def test_learned_operators_hold_out(spark):
     d = "/root/testdata/sf0.01"
     labels = {r.doc_id: r for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
