@@ -6,10 +6,12 @@ whole batches; a null text counts as empty everywhere.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,26 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def trim_memory() -> None:
+    """Gives the memory that this Python worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """A partition's function that trims the worker at its end: Spark hands workers from stage to stage, with all they hold."""
+
+    @functools.wraps(run)
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim_memory()
+
+    return trimmed
+
+
 def partitions_for(n: int, each: int, least: int = 1) -> int:
     return max(least, -(-n // each))
 
@@ -115,15 +137,19 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class RangeHash:
-    """64-bit polynomial hashes of byte ranges of one buffer; equal bytes have equal hashes in any buffer."""
+    """64-bit polynomial hashes of byte ranges of one buffer; equal bytes have equal hashes in any buffer.
+
+    Powers are kept for buffers of up to two pieces; a longer one has its own.
+    """
 
-    size = 0
     up = down = np.ones(1, np.uint64)
 
     def __init__(self, data: np.ndarray):
-        if RangeHash.size < len(data) + 1:
-            RangeHash.size = max(PIECE_BYTES, 2 * len(data)) + 1
-            RangeHash.up, RangeHash.down = powers(BASE, RangeHash.size), powers(BASE_INVERSE, RangeHash.size)
+        if len(self.up) <= len(data):
+            size = next((k * PIECE_BYTES for k in (1, 2) if len(data) <= k * PIECE_BYTES), len(data))
+            self.up, self.down = powers(BASE, size), powers(BASE_INVERSE, size)
+            if size <= 2 * PIECE_BYTES:
+                RangeHash.up, RangeHash.down = self.up, self.down
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE_CODE[data] * self.up[: len(data)], out=self.sums[1:])
 

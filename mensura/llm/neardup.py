@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.common import BASE, LOWER, RangeHash, doc_columns, each_piece, materialize, mix, read, ship_package, shingles, words
+from mensura.llm.common import BASE, LOWER, RangeHash, doc_columns, each_piece, lean, materialize, mix, read, ship_package, shingles, words
 from mensura.llm.graph import components
 
 BANDS, ROWS = 32, 3
@@ -92,6 +92,7 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: n
 SIGNED = "doc_id long, h long, n long, k1 long, k2 long, regs binary, bands array<long>"
 
 
+@lean
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, off in each_piece(batches, 1):
         elements, edges = shingle_sets(data, off)
@@ -104,6 +105,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(np.diff(edges), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in regs], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band.ravel()))], names=["doc_id", "h", "n", "k1", "k2", "regs", "bands"])
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, off in each_piece(batches, 1):
         elements, edges = shingle_sets(data, off)
@@ -114,6 +116,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _likely(threshold: float):
     """Keeps pairs whose estimated similarity isn't clearly under what is asked."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 8192):
@@ -127,6 +130,7 @@ def _likely(threshold: float):
 
 
 def _confirmed(share: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             has, last = [], (None, None)
@@ -202,6 +206,7 @@ def _across(threshold: float, share: int):
         found = np.unique(np.concatenate(out, 1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         rows = 0

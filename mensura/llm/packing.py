@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.common import SPACE, RangeHash, doc_columns, each_piece, partitions_for, read, ship_package
+from mensura.llm.common import SPACE, RangeHash, doc_columns, each_piece, lean, partitions_for, read, ship_package
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Byte pairs that begin white space outside ASCII; texts with them are tokenized whole.
@@ -38,6 +38,8 @@ MARK = np.zeros(256, bool)
 MARK[[x for x in range(33, 127) if not ALNUM[x] and x != 39]] = True
 #: Units that stand in one string for the tokenizer, apart by its special token.
 UNITS_TOGETHER = 512
+#: Such strings that are encoded at a time: an encoding takes a hundred bytes and more a token.
+STRINGS_TOGETHER = 64
 #: A worker's tokenizers by path, kept from task to task.
 _tokenizers: dict[str, UnitTokenizer] = {}
 
@@ -80,7 +82,8 @@ class UnitTokenizer:
             return np.fromiter(chain.from_iterable(found), np.int64, lengths.sum()), lengths
         apart, name = self.apart
         texts = [name.join([*units[i : i + UNITS_TOGETHER], b""]).decode() for i in range(0, len(units), UNITS_TOGETHER)]
-        parts = [np.array(x.ids, np.int64) for x in self.splitter.encode_batch_fast(texts, add_special_tokens=False)]
+        batches = (self.splitter.encode_batch_fast(texts[i : i + STRINGS_TOGETHER], add_special_tokens=False) for i in range(0, len(texts), STRINGS_TOGETHER))
+        parts = [np.array(x.ids, np.int64) for found in batches for x in found]
         ids = np.concatenate([*parts, np.zeros(0, np.int64)])
         at = np.flatnonzero(ids == apart)
         return ids[ids != apart], np.diff(at, prepend=-1) - 1
@@ -135,6 +138,7 @@ class UnitTokenizer:
 def _tokenized(path: str, size: int):
     out = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("rest", pa.binary())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tokenizers:
             _tokenizers[path] = UnitTokenizer(path)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from mensura.llm.common import each_piece, read, ship_package
+from mensura.llm.common import each_piece, lean, read, ship_package
 from mensura.llm.linear import BITS, Features, Rows, distinct, labelled_sample, log_count_ratios, logistic, sigmoid, word_and_stem_features
 
 #: Category names in the chain's order; the last decides.
@@ -95,6 +95,7 @@ def with_probabilities(docs: DataFrame, chain: ClassifierChain) -> DataFrame:
     docs = docs.select("text", *[c for c in names if c != "text"])
     at, added = names.index("text"), list(chain.names)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in each_piece(batches, 0):
             columns = rows.columns[1:]
