@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.llm.bwt import repeated_starts
-from mensura.llm.common import RangeHash, doc_columns, each_piece, materialize, mix, read, ship_package
+from mensura.llm.common import RangeHash, doc_columns, each_piece, lean, materialize, mix, pieces, read, ship_package
 
 GRAM = 48
 #: Different segments of an anchor beyond which its windows are counted by hash: so many, of 752 bytes at
@@ -33,6 +33,10 @@ GRAM = 48
 MANY = 4096
 #: Bytes of segments that are transformed at once.
 TRANSFORM_BYTES = 1 << 20
+#: Bytes of text whose windows are anchored at once: some twenty arrays of 8 bytes a byte.
+ANCHOR_BYTES = 1 << 18
+#: Bytes of text whose segments are cut, or whose repeats are removed, at once; a longer text stands alone.
+CUT_BYTES = 1 << 20
 
 
 def anchors(data: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -61,27 +65,36 @@ def anchors(data: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray,
 
 
 def _occurrences(least: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in each_piece(batches, 1):
+        for rows, data, off in each_piece(batches, 1, ANCHOR_BYTES):
             row, begin, count, anchor, segment = anchors(data, off, least)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64)), rows.column(0).take(pa.array(row)), pa.array(begin, pa.int64()), pa.array(count, pa.int32())], names=["anchor", "segment", "rk", "start", "windows"])
 
     return run
 
 
+@lean
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
     for rows, data, off in each_piece(batches, 2):
         raw = data.tobytes()
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([pack.compress(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], names=["rk", "doc_id", "z"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([pack.compress(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary()), pa.array(np.diff(off))], names=["rk", "doc_id", "z", "size"])
+
+
+def _by_bytes(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about CUT_BYTES of text by the column of sizes."""
+    off = np.concatenate([[0], np.cumsum(batch.column(size).to_numpy())])
+    for i, j in pieces(off, CUT_BYTES):
+        yield batch.slice(i, j - i)
 
 
 def _cut(least: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
+            for part in _by_bytes(batch, 2):
                 lists, size = part.column(1), part.column(1).value_lengths().to_numpy(zero_copy_only=False)
                 fields = lists.flatten().flatten()
                 starts, windows = fields[2].to_pylist(), fields[3].to_pylist()
@@ -105,6 +118,7 @@ def _expand(least: int):
         out = [(a, s, _ranges(f)) for (a, s, _), f in zip(rows, found, strict=True) if f.any()]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["anchor", "segment", "ranges"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -121,6 +135,7 @@ def _expand(least: int):
 
 
 def _windows(least: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in each_piece(batches, 2):
             count = np.diff(off) - least + 1
@@ -133,6 +148,7 @@ def _windows(least: int):
     return run
 
 
+@lean
 def _joined_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -143,17 +159,18 @@ def _joined_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["anchor", "segment", "ranges"])
 
 
-def _removed(least: int):
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
+def _removed(least: int, with_text: bool):
+    schema = pa.schema([*((x, pa.int64()) for x in ("doc_id", "n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))][: 7 if with_text else 5])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for part in (x for batch in batches for x in _by_bytes(batch, 3)):
             out = []
-            for doc, z, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, z, found in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
                 raw = unpack.decompress(z.as_py())
                 if not found.is_valid:
-                    out.append((doc, len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw, []))
+                    out.append((doc, len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), *((raw, []) if with_text else ())))
                     continue
                 items = found.values
                 starts, windows, ranges = (items.field(k) for k in range(3))
@@ -165,9 +182,8 @@ def _removed(least: int):
                 gone = np.cumsum(change[:-1]) > 0
                 spans = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                out.append((doc, len(raw), int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), kept, [{"start": int(a), "end": int(b)} for a, b in spans]))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=names)
+                out.append((doc, len(raw), int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), *((kept, [{"start": int(a), "end": int(b)} for a, b in spans]) if with_text else ())))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(schema.types)], schema=schema)
 
     return run
 
@@ -185,9 +201,9 @@ def remove_repeats(docs: DataFrame, least: int = 400, with_text: bool = True) ->
     shared = segments.groupBy("anchor").agg(F.sum("times").alias("all_times"), F.count("*").alias("kinds")).where("all_times > 1").select("anchor", "kinds")
     shared = materialize(segments.join(shared, "anchor"), "shared-segments")
 
-    packed = docs.select("rk", "doc_id", "text").mapInArrow(_packed, "rk long, doc_id long, z binary")
+    packed = docs.select("rk", "doc_id", "text").mapInArrow(_packed, "rk long, doc_id long, z binary, size long")
     wanted = shared.where("kinds > 1").groupBy("rk").agg(F.collect_list(F.struct("anchor", "segment", "start", "windows", (F.col("kinds") > MANY).alias("many"))).alias("cuts"))
-    texts = packed.join(wanted, "rk").select("z", "cuts").mapInArrow(_cut(least), "anchor long, segment long, many boolean, bytes binary")
+    texts = packed.join(wanted, "rk").select("z", "cuts", "size").mapInArrow(_cut(least), "anchor long, segment long, many boolean, bytes binary")
     has_many = not shared.where(F.col("kinds") > MANY).isEmpty()
     if has_many:
         texts = materialize(texts, "segments")
@@ -202,9 +218,9 @@ def remove_repeats(docs: DataFrame, least: int = 400, with_text: bool = True) ->
     once = shared.where("times = 1").select("anchor", "segment").join(found, ["anchor", "segment"])
     repeats = twice.union(once)
     of_row = occurrences.join(repeats, ["anchor", "segment"]).groupBy("rk").agg(F.collect_set(F.struct("start", "windows", "ranges")).alias("found"))
-    out = packed.join(of_row, "rk", "left").select("doc_id", "z", "found")
-    out = out.mapInArrow(_removed(least), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
-    return out if with_text else out.drop("kept", "spans")
+    out = packed.join(of_row, "rk", "left").select("doc_id", "z", "found", "size")
+    types = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return out.mapInArrow(_removed(least, with_text), types + (", kept binary, spans array<struct<start:long,end:long>>" if with_text else ""))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
