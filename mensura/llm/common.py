@@ -90,6 +90,21 @@ def lean(run: Callable) -> Callable:
     return trimmed
 
 
+def beside(*own: str) -> Callable:
+    """For a stage that returns the documents' columns: all but ``own`` pass through under names that clash with none of the stage's."""
+
+    def wrap(stage: Callable) -> Callable:
+        @functools.wraps(stage)
+        def run(docs: DataFrame, *args, **named) -> DataFrame:
+            hidden = {c: f"_beside{i}" for i, c in enumerate(docs.columns) if c not in own}
+            out = stage(docs.withColumnsRenamed(hidden), *args, **named)
+            return out.withColumnsRenamed({v: k for k, v in hidden.items()})
+
+        return run
+
+    return wrap
+
+
 def partitions_for(n: int, each: int, least: int = 1) -> int:
     return max(least, -(-n // each))
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mensura.llm.common import materialize, partitions_for, read
+from mensura.llm.common import beside, materialize, partitions_for, read
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of sources in order, repeating.
@@ -110,6 +110,7 @@ def range_sorted(mixed: DataFrame) -> DataFrame:
     return mixed.orderBy("position", "doc_id")
 
 
+@beside("doc_id", "text", "source", "n_chars")
 def take(docs: DataFrame, most_repeats: int = 3) -> DataFrame:
     """The mix itself, with the columns of the documents: whole copies, then one cut to the words still wanted."""
     plan = curriculum(docs, most_repeats).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("same"), F.min("position").alias("position"))

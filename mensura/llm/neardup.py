@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.common import BASE, LOWER, RangeHash, doc_columns, each_piece, lean, materialize, mix, read, ship_package, shingles, words
+from mensura.llm.common import BASE, LOWER, RangeHash, beside, doc_columns, each_piece, lean, materialize, mix, read, shingles, ship_package, words
 from mensura.llm.graph import components
 
 BANDS, ROWS = 32, 3
@@ -299,6 +299,7 @@ def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
     return NearDuplicates(docs, share).run().drop("h")
 
 
+@beside("doc_id", "text")
 def one_of_each(docs: DataFrame, share: int = 75) -> DataFrame:
     """The documents, with their columns, that are their component's kept rows; of rows equal in id and text one."""
     found = NearDuplicates(docs, share).run().where("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()

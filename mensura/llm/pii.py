@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mensura.llm.common import materialize, read
+from mensura.llm.common import beside, materialize, read
 
 #: The base kinds in order with their patterns, written so that none can backtrack over a run.
 KINDS = {
@@ -132,6 +132,7 @@ def _printed(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+@beside("doc_id", "text", "n_chars")
 def redact(docs: DataFrame) -> DataFrame:
     """The documents, with their columns, where the kind in angle brackets stands for each span; overlapping spans are one, of the first's kind."""
     spans = all_spans(docs).withColumn("order", _order())

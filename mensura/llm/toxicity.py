@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from mensura.llm.common import each_piece, lean, read, ship_package
+from mensura.llm.common import beside, each_piece, lean, read, ship_package
 from mensura.llm.linear import BITS, Features, Rows, distinct, labelled_sample, log_count_ratios, logistic, sigmoid, word_and_stem_features
 
 #: Category names in the chain's order; the last decides.
@@ -106,6 +106,7 @@ def with_probabilities(docs: DataFrame, chain: ClassifierChain) -> DataFrame:
     return docs.mapInArrow(run, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), *(f"{c} double" for c in added)]))
 
 
+@beside("doc_id", "text")
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents, with their columns, that the chain's last category doesn't reject."""
     ship_package(docs.sparkSession)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mensura.llm import fingerprints, media, mixing, neardup, packing, pii, ppm, quality, substrings, toxicity
 from mensura.llm.bwt import repeated_starts
@@ -350,3 +351,19 @@ def test_pipeline_stages_keep_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "personal_data", "mixing", "packing"]
     out = corpus_pipeline.run(spark, d)
     assert out.count() > 0 and set(r.doc_id for r in out.select("doc_id").distinct().collect()) <= set(r.doc_id for r in docs.select("doc_id").collect())
+
+
+CLASHES = ["toxic", "toxic_poor", "spans", "size", "taken", "same", "position", "k", "cut", "whole", "part", "mine", "h", "_id", "_h", "_text", "component_id", "kept", "node", "value", "start", "order", "a.b"]
+
+
+@pytest.mark.parametrize("stage", ["keep_clean", "one_of_each", "redact", "take"])
+def test_stages_keep_clashing_columns(spark, docs, stage):
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    run = {"keep_clean": lambda d: toxicity.keep_clean(d, labels), "one_of_each": neardup.one_of_each, "redact": pii.redact, "take": mixing.take}[stage]
+    extra = docs.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES])
+    plain, found = run(docs), run(extra)
+    assert found.columns == extra.columns
+    rows = found.collect()
+    assert all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in CLASHES)
+    key = lambda r: tuple(str(r[c]) for c in docs.columns)
+    assert rows and sorted(map(key, rows)) == sorted(map(key, plain.collect()))
