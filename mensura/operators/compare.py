@@ -15,10 +15,12 @@ def wape_by_series(report: DataFrame, models: list[str], keys: list[str]) -> Dat
 def improvement(report: DataFrame, champion: str, challenger: str, keys: list[str], by: list[str]) -> DataFrame:
     """Per group: series, those not comparable, wins and quartiles of the champion's WAPE less the challenger's.
 
-    Comparable means that both cover the series, and equally.
+    Comparable means that both cover the series, and equally; a horizon that a series lacks is not comparable.
     """
     one = wape_by_series(report, [champion, challenger], keys)
     wide = one.groupBy(*keys, "horizon").agg(*[F.max(F.when(F.col("model") == m, F.col(v))).alias(f"{v}_{k}") for k, m in (("a", champion), ("b", challenger)) for v in ("wape", "coverage")])
+    grid = wide.select(*keys).distinct().crossJoin(F.broadcast(wide.select("horizon").distinct()))
+    wide = grid.join(wide, [*keys, "horizon"], "left")
     if by != ["horizon"]:
         wide = wide.join(report.select(*keys, *[b for b in by if b != "horizon"]).distinct(), keys)
     fair = F.coalesce((F.col("coverage_a") > 0) & (F.col("coverage_a") == F.col("coverage_b")), F.lit(False))

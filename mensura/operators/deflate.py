@@ -37,13 +37,20 @@ def level_index(rel: DataFrame, catalog: DataFrame, level: str) -> DataFrame:
     """
     rows = rel.join(catalog.select("product_id", F.col(level).alias("level_id")), "product_id").where("level_id is not null")
     ln = F.ln(clamped(F.col("relative")))
-    even = (F.min("weight") <= 0) | (F.count("weight") < F.count("*"))
+    even = (F.min("weight") <= 0) | (F.max("weight") >= F.lit(float("inf"))) | (F.count("weight") < F.count("*"))
     month = rows.groupBy("level_id", "month").agg(F.count("*").alias("n"), F.when(even, F.avg(ln)).otherwise(F.try_divide(F.sum(F.col("weight") * ln), F.sum("weight"))).alias("g")).where(F.col("n") >= LEAST_PAIRS)
     w = Window.partitionBy("level_id").orderBy("month")
     index = F.exp(F.sum("g").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.first("g").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return month.select(F.lit(level).alias("level"), "level_id", "month", index.alias("index"))
 
 
+def factor_between(index: DataFrame, start: str, end: str) -> DataFrame:
+    """level, level_id, factor: the index at ``end`` over that at ``start``; NULL where a month is missing or the base isn't positive."""
+    at = lambda month: F.max(F.when(F.col("month") == F.lit(month).cast("date"), F.col("index")))
+    both = index.groupBy("level", "level_id").agg(at(start).alias("a"), at(end).alias("b"))
+    return both.select("level", "level_id", F.when(F.col("a") > 0, F.col("b") / F.col("a")).alias("factor"))
+
+
 def indices(facts: DataFrame, catalog: DataFrame | None, cpi: DataFrame) -> DataFrame:
     national = cpi.select(F.lit("ipc").alias("level"), F.lit("nacional").alias("level_id"), "month", F.col("index").cast("double").alias("index"))
     if catalog is None:

@@ -57,6 +57,35 @@ def extract_checks(facts: DataFrame, catalog: DataFrame) -> DataFrame:
     return one.crossJoin(more).unpivot([], [*one.columns, "categories"], "check", "value")
 
 
+def first_products(facts: DataFrame, n: int) -> DataFrame:
+    """The n least product ids, for small frozen samples."""
+    return facts.select("product_id").distinct().orderBy("product_id").limit(n)
+
+
+def differences(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """Keys where two tables of one grain differ, by value or because one lacks the row."""
+    both = a.select(*keys, *[F.col(v).alias(f"{v}_a") for v in values], F.lit(True).alias("in_a")).join(b.select(*keys, *[F.col(v).alias(f"{v}_b") for v in values], F.lit(True).alias("in_b")), keys, "full")
+    same = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+    for v in values:
+        same &= F.coalesce(F.abs(F.col(f"{v}_a") - F.col(f"{v}_b")) <= tolerance, F.col(f"{v}_a").eqNullSafe(F.col(f"{v}_b")))
+    return both.where(~same).drop("in_a", "in_b")
+
+
+def category_shares(facts: DataFrame, catalog: DataFrame) -> DataFrame:
+    """category, products, percent of all products that sell."""
+    sold = facts.select("product_id").distinct().join(catalog.select("product_id", "category"), "product_id", "left")
+    counts = sold.groupBy("category").agg(F.count("*").alias("products"))
+    total = counts.agg(F.sum("products").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select("category", "products", F.round(100 * F.col("products") / F.col("total"), 4).alias("percent"))
+
+
+def without_recent_sale(facts: DataFrame, until: str, months: int) -> DataFrame:
+    """products, stale, percent: those with no units above 0 in the last ``months`` months."""
+    recent = F.col("month") > F.add_months(F.lit(until).cast("date"), -months)
+    one = facts.where(F.col("month") <= F.lit(until).cast("date")).groupBy("product_id").agg(F.max(F.when(recent & (F.col("units") > 0), 1).otherwise(0)).alias("sold"))
+    return one.agg(F.count("*").alias("products"), F.count_if(F.col("sold") == 0).alias("stale")).withColumn("percent", F.round(F.try_divide(100 * F.col("stale"), F.col("products")), 4))
+
+
 def fingerprint(facts: DataFrame) -> DataFrame:
     return facts.agg(F.count("*").alias("rows"), F.countDistinct("product_id").alias("series"), F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.round(F.sum("units"), 2).alias("total"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HORIZONS = (1, 3, 6, 12)
@@ -46,6 +46,12 @@ def by_level(report: DataFrame, models: list[str], levels: dict[str, list[str]],
     return out.select("level", "model", "horizon", "wape", "bias", "n", "coverage")
 
 
+def worst(rows: DataFrame, by: list[str], score: str, keys: list[str]) -> DataFrame:
+    """Per group the row with the largest score, the least keys first among equals."""
+    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last(score), *keys)
+    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(*by, *keys, score)
+
+
 def mase(report: DataFrame, models: list[str], keys: list[str]) -> DataFrame:
     """keys, cut, model, mase: mean error over the seasonal-naive error of the dense history up to the cut."""
     rows = long(report, models, [*keys, "cut", "real", "scale"])

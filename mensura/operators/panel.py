@@ -25,6 +25,11 @@ def cuts(facts: DataFrame, until: str | None, n: int = 18) -> DataFrame:
     return found
 
 
+def trimmed(table: DataFrame, cut: str, column: str = "computed_on") -> DataFrame:
+    """An auxiliary table as a cut may see it; one without the date column is whole at every cut."""
+    return table.where(F.col(column) <= F.lit(cut).cast("date")) if column in table.columns else table
+
+
 def month_number(column: Column | str) -> Column:
     return F.year(column) * 12 + F.month(column)
 

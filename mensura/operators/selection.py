@@ -70,10 +70,11 @@ def cascade(report: DataFrame, ranking: DataFrame, models: list[str], keys: list
 
 
 def selected(report: DataFrame, winners: DataFrame, models: list[str], keys: list[str], fallback: str) -> DataFrame:
-    """Adds pred of each series' winner."""
+    """Adds pred of each series' winner; a winner that is none of the models is an error."""
     rows = report.join(winners.select(*keys, F.col("model").alias("winner")), keys, "left").withColumn("winner", F.coalesce("winner", F.lit(fallback)))
     pred = F.coalesce(*[F.when(F.col("winner") == m, F.col(m)) for m in models])
-    return rows.withColumn("pred", pred)
+    known = F.col("winner").isin(*models)
+    return rows.withColumn("pred", F.when(known, pred).otherwise(F.raise_error(F.concat(F.lit("unknown winner "), "winner")).cast("double")))
 
 
 def provenance(cascaded: DataFrame) -> DataFrame:
