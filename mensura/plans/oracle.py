@@ -154,6 +154,11 @@ _BODIES = {
     "mase_by_horizon": f"select model, horizon, round(avg(mase), 6) mean_mase, round(median(mase), 6) median_mase, count(*) n from c_long join c_mase using (category, lab, cut, model) where {HORIZON} group by all",
     "relatives": "select product_id, month, round(relative, 4) relative, round(weight, 4) weight from rel",
     "clamped_relatives": "select month, count(*) pairs, count(*) filter (relative > 3 or relative < 1/3.0::double) hit, round(avg(least(greatest(relative, 1/3.0::double), 3)), 6) mean from rel group by 1",
+    "index_factor": "select k.level, k.level_id, round(case when a.index > 0 then b.index / a.index end, 4) factor from (select distinct level, level_id from idx) k left join idx a on a.level = k.level and a.level_id = k.level_id and a.month = date '2000-01-01' left join idx b on b.level = k.level and b.level_id = k.level_id and b.month = date '2001-09-01'",
+    "first_products": "select distinct product_id from facts order by 1 limit 25",
+    "category_shares": "select category, count(*) products, round(100.0 * count(*) / sum(count(*)) over (), 4) percent from (select distinct product_id from facts) left join cat using (product_id) group by 1",
+    "without_recent_sale": "select count(*) products, count(*) filter (where not sold) stale, round(100.0 * count(*) filter (where not sold) / count(*), 4) percent from (select product_id, bool_or(month > date '2000-10-01' and units > 0) sold from facts where month <= date '2001-10-01' group by 1)",
+    "facts_cross_check": "select product_id, month, f.units units_a, f.revenue revenue_a, c.units units_b, c.revenue revenue_b from facts f full join (select product_id, month, sum(units) units, sum(revenue) revenue from cfacts group by all) c using (product_id, month) where f.product_id is null or c.product_id is null or abs(f.units - c.units) > 1e-3 or abs(f.revenue - c.revenue) > 1e-3",
     "level_index": "select level, level_id, month, round(index, 4) as index from idx",
     "own_anchor": "select product_id, round(anchor, 4) anchor from own",
     "last_usable_price": "select product_id, round(price, 4) price, price_month from lastp",

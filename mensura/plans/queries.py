@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.operators import classify, compare, deflate, facts, features, hierarchy, metrics, panel, runs, selection
+from mensura.operators import classify, compare, deflate, facts, features, forecast, hierarchy, metrics, panel, runs, selection
 from mensura.sources import repository
 from mensura.sources.testdata import catalog, price_index, sale_lines
 
 UNTIL, CUT, YEAR_END = "2001-10-01", "2001-09-01", "2000-12-31"
 MODELS = ["SeasonalNaive", "WindowAverage", "LastValue"]
+#: Candidates of the full selection, in the order that breaks ties.
+CANDIDATES = ["SeasonalNaive", "WindowAverage", "AutoETS", "AutoTheta", "AutoARIMA", "CrostonSBA", "TSB"]
 CELL = ["category", "lab"]
 AHEAD = ["cut", "horizon"]
 QUADRANTS = ["suave", "erratica", "intermitente", "lumpy", "sin_actividad"]
@@ -462,3 +464,67 @@ def contract_json(spark, d):
 def contract_ingest(spark, d):
     good, bad = repository.accepted_sales(repository.sales_documents(sale_lines(spark, d)))
     return rounded(good.agg(F.count("*").alias("lines"), F.sum("quantity").alias("quantity")).crossJoin(bad.agg(F.count("*").alias("rejected"))))
+
+
+def _all_models(spark, d):
+    """Category-and-lab report with every model: simple, intermittent and fitted ones."""
+    rows = cell_facts(spark, d)
+    months = panel.dense(rows, CELL, UNTIL)
+    cut_rows = panel.cuts(rows, UNTIL)
+    simple = panel.backtest(panel.intermittent_states(months, CELL), cut_rows, CELL)
+    return forecast.combined(simple, months, cut_rows, CELL)
+
+
+@query
+def backtest_all(spark, d):
+    return rounded(_all_models(spark, d))
+
+
+@query
+def ranking_all(spark, d):
+    return selection.ranked(_all_models(spark, d), CANDIDATES, CELL, "SeasonalNaive")
+
+
+@query
+def report_cascade_all(spark, d):
+    # Persisted: the ranking and the cascade read one report, whose models are fitted once.
+    r = _all_models(spark, d).persist()
+    rows = selection.cascade(r, selection.ranked(r, CANDIDATES, CELL, "SeasonalNaive"), CANDIDATES, CELL)
+    return rounded(rows.select(*CELL, *AHEAD, "pred", "used_model", F.col("used_rank").cast("int").alias("used_rank")))
+
+
+@query
+def wape_all(spark, d):
+    return metrics.by_level(_all_models(spark, d).persist(), CANDIDATES, {"series": CELL, "category": ["category"], "total": []}, CELL)
+
+
+@query
+def index_factor(spark, d):
+    return rounded(deflate.factor_between(index(spark, d), "2000-01-01", CUT), 4)
+
+
+@query
+def first_products(spark, d):
+    return facts.first_products(net(spark, d), 25)
+
+
+@query
+def category_shares(spark, d):
+    return facts.category_shares(net(spark, d), catalog(spark, d))
+
+
+@query
+def without_recent_sale(spark, d):
+    return facts.without_recent_sale(net(spark, d), UNTIL, 12)
+
+
+@query
+def facts_cross_check(spark, d):
+    """Product facts against the client facts summed up: no rows where both nettings agree."""
+    return facts.differences(net(spark, d), facts.rollup(client_net(spark, d)), ["product_id", "month"], ["units", "revenue"], 1e-3)
+
+
+@query
+def reconciled_side_by_side(spark, d):
+    members, nodes = _hierarchy(spark, d)
+    return rounded(hierarchy.side_by_side(nodes.persist(), members, "pred", AHEAD, list(hierarchy.METHODS)), 3)
