@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,9 +24,13 @@ def frame(spark, rows):
 
 
 def test_netting_subtracts_credit_notes(spark):
-    rows = [(1, month("2025-03"), 10.0, 1000.0, False), (1, month("2025-03"), 4.0, 400.0, True), (2, month("2025-03"), 8.0, 80.0, False), (2, month("2025-03"), 8.0, 80.0, True)]
+    # Product 7 returns a third of what it sold, product 9 more than it sold, product 4 all of it in the month after.
+    rows = [(7, month("2031-05"), 9.0, 63.0, False), (7, month("2031-05"), 3.0, 24.0, True), (9, month("2031-05"), 2.0, 5.0, False), (9, month("2031-05"), 6.0, 15.0, True), (4, month("2031-05"), 1.0, 12.0, False), (4, month("2031-06"), 1.0, 12.0, True)]
     got = facts.with_price(facts.netted(spark.createDataFrame(rows, "product_id long, month date, quantity double, amount double, credit_note boolean"), "product_id"))
-    assert {(r.product_id, r.units, r.revenue, r.avg_price) for r in got.collect()} == {(1, 6.0, 600.0, 100.0), (2, 0.0, 0.0, None)}
+    want = {(7, 5, 6.0, 39.0, 6.5), (9, 5, -4.0, -10.0, 2.5), (4, 5, 1.0, 12.0, 12.0), (4, 6, -1.0, -12.0, 12.0)}
+    assert {(r.product_id, r.month.month, r.units, r.revenue, r.avg_price) for r in got.collect()} == want
+    level = spark.createDataFrame([(5, month("2031-05"), q, q, c) for q, c in ((3.0, False), (3.0, True))], "product_id long, month date, quantity double, amount double, credit_note boolean")
+    assert facts.with_price(facts.netted(level, "product_id")).first().avg_price is None
 
 
 def test_gifts_go_by_strict_threshold(spark):
@@ -33,9 +38,9 @@ def test_gifts_go_by_strict_threshold(spark):
     assert sorted(r.price for r in facts.without_gifts(df).collect()) == [0.06, 1.0]
 
 
-@pytest.mark.parametrize(("values", "late"), [([100] * 24 + [32, 0], 2), ([100] * 12 + [20] + [100] * 12, 0), ([100] * 24 + [62], 0)])
+@pytest.mark.parametrize(("values", "late"), [([40, 44] * 10 + [3], 1), ([40, 44] * 10 + [9, 5, 1], 3), ([40, 44] * 5 + [2, 2] + [40, 44] * 5, 0), ([40, 44] * 10 + [39], 0)])
 def test_incomplete_months_are_a_tail(spark, values, late):
-    assert facts.incomplete_months(frame(spark, series(spark, values, (2019, 1)))).count() == late
+    assert facts.incomplete_months(frame(spark, series(spark, values, (2030, 4)))).count() == late
 
 
 def test_dense_panel_starts_at_first_row_and_has_no_gap(spark):
@@ -159,23 +164,97 @@ def test_cascade_takes_the_best_model_that_predicted(spark):
 
 
 def test_improvement_needs_equal_coverage(spark):
-    report = spark.createDataFrame([("P1", 1, 10.0, 15.0, 10.0), ("P2", 1, 100.0, 100.0, None)], "k string, horizon int, real double, malo double, bueno double")
-    got = compare.improvement(report, "malo", "bueno", ["k"], ["horizon"]).first()
-    assert (got.series, got.not_comparable, got.wins, got["median"]) == (2, 1, 1, 0.5)
+    # By hand at horizon 2: k 0.3 - 0.1 gains, l 0.5 - 0.75 loses, m lacks the challenger; n has no row there, only at horizon 5.
+    rows = [("k", 2, 20.0, 26.0, 22.0), ("l", 2, 8.0, 4.0, 2.0), ("m", 2, 6.0, 6.0, None), ("n", 5, 4.0, 5.0, 4.0)]
+    report = spark.createDataFrame(rows, "k string, horizon int, real double, old double, new double")
+    got = {r.horizon: r for r in compare.improvement(report, "old", "new", ["k"], ["horizon"]).collect()}
+    assert (got[2].series, got[2].not_comparable, got[2].wins, got[2].percent_wins) == (4, 2, 1, 50.0)
+    assert (got[2]["median"], got[2].p25, got[2].p75) == pytest.approx((-0.025, -0.1375, 0.0875))
+    assert (got[5].series, got[5].not_comparable, got[5].wins, got[5]["median"]) == (4, 3, 1, 0.25)
 
 
 def test_reconciled_forecasts_are_coherent(spark):
-    cat = spark.createDataFrame([(1, "A", "L1"), (2, "A", "L2"), (3, "B", "L1"), (4, "B", "L3")], "product_id long, category string, lab string")
+    # Five leaves, two categories crossed with two labs, one cell of two leaves, one cell empty.
+    where = {11: ("north", "x"), 12: ("north", "x"), 13: ("north", "y"), 14: ("south", "y"), 15: ("south", "y")}
+    cat = spark.createDataFrame([(p, c, lab) for p, (c, lab) in where.items()], "product_id long, category string, lab string")
     members = hierarchy.membership(cat)
-    assert {r.base for r in members.where("series = 'total/L1'").collect()} == {1, 3}
-    leaves = spark.createDataFrame([(p, 1, 10.0 * p) for p in range(1, 5)], "product_id long, cut int, pred double")
-    nodes = hierarchy.level_sums(leaves, members, "pred", "cut").withColumn("pred", F.when(F.col("level") == "product", 1.1 * F.col("pred")).otherwise(F.col("pred")))
+    assert {r.base for r in members.where("series = 'total/y'").collect()} == {13, 14, 15}
+    rng = np.random.default_rng(2)
+    names = sorted({(r.level, r.series) for r in members.collect()})
+    under = {n: {r.base for r in members.where(F.col("series") == n[1]).where(F.col("level") == n[0]).collect()} for n in names}
+    values = {n: float(rng.uniform(5, 50)) for n in names}
+    nodes = spark.createDataFrame([(*n, 1, v) for n, v in values.items()], "level string, series string, cut int, pred double")
     assert hierarchy.incoherent(nodes, members, "pred", ["cut"]).count() > 0
-    for method in ("bottom_up", "ols", "wls_struct"):
+    leaves = sorted(where)
+    summing = np.array([[float(p in under[n]) for p in leaves] for n in names])
+    every = np.array([values[n] for n in names])
+    for method in hierarchy.METHODS:
         out = hierarchy.reconciled(nodes, members, "pred", ["cut"], method)
         assert hierarchy.incoherent(out, members, "pred", ["cut"]).count() == 0
         if method == "bottom_up":
-            assert {round(r.pred, 6) for r in out.where("level = 'product'").collect()} == {11.0, 22.0, 33.0, 44.0}
+            want = summing @ np.array([next(v for n, v in values.items() if n[0] == "product" and under[n] == {p}) for p in leaves])
+        else:
+            # The dense normal equations with the whole summing matrix.
+            w = np.ones(len(names)) if method == "ols" else summing.sum(1)
+            want = summing @ np.linalg.solve(summing.T @ (summing / w[:, None]), summing.T @ (every / w))
+        got = {(r.level, r.series): r.pred for r in out.collect()}
+        assert [got[n] for n in names] == pytest.approx(list(want))
+    wide = hierarchy.side_by_side(nodes, members, "pred", ["cut"], ["bottom_up", "ols"])
+    assert wide.columns == ["level", "series", "cut", "pred", "pred_bottom_up", "pred_ols"] and wide.count() == len(names)
+
+
+def test_hierarchy_guards(spark):
+    cat = lambda *rows: spark.createDataFrame(rows, "product_id long, category string, lab string")
+    with pytest.raises(Exception, match="are both u_v"):
+        hierarchy.membership(cat((1, "u/v", "x"), (2, "u_v", "x"))).collect()
+    assert hierarchy.membership(cat((1, "u/v", "x"), (2, "u/v", "z"))).count() == 10
+    with pytest.raises(Exception, match="no or two groups"):
+        hierarchy.membership(cat((1, "u", "x"), (1, "u", "z"))).collect()
+    members = hierarchy.membership(cat((1, "u", "x")))
+    rows = spark.createDataFrame([(1, 1, 2.0), (8, 1, 3.0)], "product_id long, cut int, pred double")
+    with pytest.raises(Exception, match="not in the catalog: 8"):
+        hierarchy.level_sums(rows, members, "pred", "cut").where("level != 'product'").collect()
+    with pytest.raises(ValueError, match="unknown method"):
+        hierarchy.reconciled(rows, members, "pred", ["cut"], "wls")
+    report = spark.createDataFrame([("k", 1, 5.0)], "k string, horizon int, a double")
+    with pytest.raises(Exception, match="unknown winner b"):
+        selection.selected(report, spark.createDataFrame([("k", "b")], "k string, model string"), ["a"], ["k"], "a").collect()
+
+
+def test_small_operators(spark):
+    index = spark.createDataFrame([("c", "u", month("2030-01"), 2.0), ("c", "u", month("2030-02"), 3.0), ("c", "v", month("2030-01"), 0.0), ("c", "v", month("2030-02"), 1.0), ("c", "w", month("2030-01"), 1.0)], "level string, level_id string, month date, index double")
+    assert {r.level_id: r.factor for r in deflate.factor_between(index, "2030-01-01", "2030-02-01").collect()} == {"u": 1.5, "v": None, "w": None}
+    dated = spark.createDataFrame([(1, month("2030-01")), (2, month("2030-03"))], "k long, computed_on date")
+    assert [r.k for r in panel.trimmed(dated, "2030-02-01").collect()] == [1] and panel.trimmed(dated.drop("computed_on"), "2030-02-01").count() == 2
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None), (4, 4.0)], "k long, v double")
+    b = spark.createDataFrame([(1, 1.0), (2, 2.5), (3, None), (5, 4.0)], "k long, v double")
+    assert sorted(r.k for r in facts.differences(a, b, ["k"], ["v"]).collect()) == [2, 4, 5]
+    assert [(r.k, r.v) for r in metrics.worst(a.withColumn("g", F.lit(0)), ["g"], "v", ["k"]).collect()] == [(4, 4.0)]
+    f = frame(spark, series(spark, [5, 0, 0], pid=2) + series(spark, [1, 1, 1], pid=6))
+    assert [r.product_id for r in facts.first_products(f, 1).collect()] == [2]
+    assert tuple(facts.without_recent_sale(f, "2025-03-01", 2).first()) == (2, 1, 50.0)
+
+
+def test_stream_closes_months_and_drops_what_comes_too_late(spark, tmp_path):
+    from mensura.streaming.netting import netted_stream
+
+    at = lambda day: dt.datetime.fromisoformat(f"2030-{day}T08:00")
+    batches = [
+        [(at("01-03"), 1, 5.0, 50.0, False), (at("01-28"), 1, 2.0, 20.0, True), (at("02-10"), 1, 4.0, 40.0, False)],
+        [(at("01-30"), 1, 1.0, 10.0, False), (at("05-02"), 1, 9.0, 90.0, False)],
+        [(at("01-31"), 1, 100.0, 1.0, False), (at("05-03"), 1, 1.0, 10.0, False)],
+        [(at("09-01"), 1, 1.0, 10.0, False)],
+    ]
+    schema = "ts timestamp, product_id long, quantity double, amount double, credit_note boolean"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = netted_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        query = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).format("parquet").start(str(tmp_path / "out"))
+        query.processAllAvailable()
+        query.stop()
+    got = {(r.product_id, r.month.month): (r.units, r.revenue) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # The row of 30 January is late but in time, that of 31 January comes when its month is closed.
+    assert got[1, 1] == (4.0, 40.0) and got[1, 2] == (4.0, 40.0) and got[1, 5] == (10.0, 100.0)
 
 
 def test_runs_and_repository(spark, tmp_path):
