@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,10 +27,12 @@ PIECE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Where it is unset, as in tests on one machine, a temporary folder is set.
+    Where it is unset, a temporary folder is set, which serves a local master alone; on a cluster it is an error.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not on_one_machine(spark):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", place)
         spark.sparkContext.setCheckpointDir(place)
@@ -38,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Where materialize() has written since the last release().
 _written: list[str] = []
+#: Applications whose workers have the package.
+_shipped: set[str] = set()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -62,9 +67,21 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether the driver itself runs the tasks, so that they see its folders."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package from where the driver did."""
+    """Lets Python workers import the package: from where the driver did on one machine, else from an archive that Spark hands out, once a session."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if not on_one_machine(spark):
+        app = spark.sparkContext.applicationId
+        if app not in _shipped:
+            place = tempfile.mkdtemp(prefix="package-")
+            spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(place, "mensura"), "zip", root, "mensura"))
+            _shipped.add(app)
+        return
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)

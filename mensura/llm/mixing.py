@@ -133,4 +133,4 @@ def take(docs: DataFrame, most_repeats: int = 3) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum(read(spark, sf_dir, "documents")).drop("source")
+    return range_sorted(curriculum(read(spark, sf_dir, "documents"))).drop("source")
