@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zipfile
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mensura.llm import fingerprints, media, mixing, neardup, packing, pii, ppm, quality, substrings, toxicity
+from mensura.llm import common, fingerprints, media, mixing, neardup, packing, pii, ppm, quality, substrings, toxicity
 from mensura.llm.bwt import repeated_starts
 from mensura.llm.common import text_buffer
 from mensura.llm.linear import crc_of_id
@@ -243,6 +244,31 @@ def test_mix_meets_its_targets(spark, docs):
     assert mixed.columns == docs.columns and sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in mixed.collect()) == sum(taken.values())
 
 
+def test_registered_mix_is_in_training_order(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = mixing.query(spark, str(tmp_path)).collect()
+    order = [(r.position, r.doc_id) for r in rows]
+    assert order == sorted(order, key=lambda x: (x[0], x[1] is not None, x[1])) and len(rows) == docs.count()
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        class sparkContext:  # noqa: N801
+            master, applicationId, sent = "spark://head:7077", "app-1", []
+            addPyFile = sent.append
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
+    monkeypatch.setattr(common, "_shipped", set())
+    common.ship_package(Session)
+    common.ship_package(Session)
+    (archive,) = Session.sparkContext.sent
+    assert {"mensura/__init__.py", "mensura/llm/common.py"} <= set(zipfile.ZipFile(archive).namelist())
+
+
 def test_language_model_base_and_sums(spark, docs):
     one = docs.dropDuplicates(["doc_id"])
     from pyspark.sql import functions as F
