@@ -13,6 +13,12 @@ FILTERS = (
     " and not (product_id % 5 = 0 and month > date '1999-06-01')",
     " where month = date '2000-05-01'",
 )
+#: The queries over all lines whose SQL still thins them.
+WHOLE = (
+    "classify_series births_deaths mase croston_tsb classify_by_cut quadrant_distribution label_report by_quadrant mase_by_horizon select_retrospective ranking_prospective "
+    "ranking_by_quadrant report_selected report_cascade cascade_origin stability winners quadrant_winners wape_by_series improvement improvement_by_category head_to_head "
+    "head_to_head_category interval_coverage pinball crossing_rate merge_runs"
+).split()
 
 
 def check(spark, name):
@@ -32,7 +38,7 @@ def check(spark, name):
         assert [pytest.approx(x, abs=2e-6, rel=1e-6) if isinstance(x, float) else x for x in b] == list(a)
 
 
-@pytest.mark.parametrize("name", ["classify_series", "births_deaths", "mase"])
+@pytest.mark.parametrize("name", WHOLE)
 def test_all_lines_count(spark, name):
     check(spark, name)
 
