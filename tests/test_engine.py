@@ -85,6 +85,17 @@ def test_classification_window_and_first_sale(spark):
     assert one([(1, month(m), 1.0) for m in ("2020-01", "2026-04", "2026-05", "2026-06")], "2026-06-01", 12) == 4
 
 
+def test_class_at_the_threshold_does_not_hang_on_order(spark):
+    # Both have CV2 = 49/100 exactly; rolled through their nine months in 36, each order is one series.
+    rows = []
+    for k, ys in enumerate(([30, 9, 5, 1, 4, 33, 28, 32, 38], [43, 44, 4, 47, 18, 11, 53, 16, 4])):
+        assert 100 * (9 * sum(y * y for y in ys) - sum(ys) ** 2) == 49 * sum(ys) ** 2
+        for r in range(9):
+            rows += [(10 * k + r, dt.date(2020 + i // 3, 1 + 4 * (i % 3), 1), float(y)) for i, y in enumerate(ys[r:] + ys[:r])]
+    got = classify.classify(frame(spark, rows), ["product_id"], "2022-12-01").collect()
+    assert len(got) == 18 and {r.quadrant for r in got} == {"intermitente"} and {round(r.cv2, 12) for r in got} == {0.49}
+
+
 def test_wape_bias_and_missing_predictions(spark):
     rows = spark.createDataFrame([("A", 10.0, 12.0), ("A", 20.0, 18.0), ("B", 5.0, 5.0), ("B", 0.0, 0.0), ("C", 0.0, 1.0), ("C", 0.0, 0.0), ("D", 10.0, None)], "g string, real double, pred double")
     got = {r.g: r for r in metrics.scores(rows, ["g"]).collect()}
