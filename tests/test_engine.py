@@ -214,6 +214,20 @@ def test_reconciled_forecasts_are_coherent(spark):
     assert wide.columns == ["level", "series", "cut", "pred", "pred_bottom_up", "pred_ols"] and wide.count() == len(names)
 
 
+def test_catalog_is_never_broadcast(spark):
+    # A packed catalog looks small to the optimizer, and its broadcast fills the driver.
+    cat = spark.range(300).selectExpr("id product_id", "concat('c', id % 3) category", "concat('l', id % 5) lab")
+    members = hierarchy.membership(cat)
+    rows = spark.range(300).selectExpr("id product_id", "1 cut", "1.0D pred")
+    sums = hierarchy.level_sums(rows, members, "pred", "cut").where("level != 'product'")
+    assert sums.count() == 24 and sums.where("series = 'total' and pred = 300").count() == 1
+    nodes = hierarchy.level_sums(rows, members, "pred", "cut")
+    wide = hierarchy.side_by_side(nodes, members, "pred", ["cut"], list(hierarchy.METHODS))
+    for df in (sums, wide):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [product_id" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and ("base" in x or "leaf" in x)]
+
+
 def test_hierarchy_guards(spark):
     cat = lambda *rows: spark.createDataFrame(rows, "product_id long, category string, lab string")
     with pytest.raises(Exception, match="are both u_v"):
