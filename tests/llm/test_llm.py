@@ -69,6 +69,42 @@ def test_repeats_go_by_brute_force(spark, docs, monkeypatch, many):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_registered_repeats_begin_at_400_bytes(spark, tmp_path):
+    """A passage goes from 400 bytes on, however many words it has; in the operator with a smaller bound the shorter ones go too."""
+    rng = random.Random(8)
+    words = lambda k: " ".join("".join(rng.choice("abcdefghijé\0") for _ in range(rng.randint(2, 7))) for _ in range(k))
+
+    def of_bytes(n):
+        return (words(n // 2).encode()[: n - 1].decode(errors="ignore") + "zz").encode()[:n].decode()
+
+    # The letters beside a passage differ, so that no repeat is longer than it.
+    short, below, exact, own = (of_bytes(n) for n in (394, 399, 400, 450))
+    assert all(len(x.split()) > 50 for x in (short, below, exact, own))
+    values = [words(40) + " A" + p + "B " + words(9) for p in (short, below, exact)] + [words(5) + " C" + p + "D " + words(30) for p in (short, below, exact)]
+    values += ["E" + own + "F " + own + "G", None, "", exact.encode()[:399].decode(errors="ignore")]
+    rows = [(i if i else None, t) for i, t in enumerate(values)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(least):
+        raw = [(d, (t or "").encode()) for d, t in rows]
+        count, want = Counter(t[i : i + least] for _, t in raw for i in range(len(t) - least + 1)), []
+        for d, t in raw:
+            gone = np.zeros(len(t), bool)
+            for i in range(len(t) - least + 1):
+                if count[t[i : i + least]] > 1:
+                    gone[i : i + least] = True
+            want.append((d, len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+        return want
+
+    by_id = lambda found: sorted((tuple(x) for x in found), key=lambda x: -1 if x[0] is None else x[0])
+    got = by_id(substrings.query(spark, str(tmp_path)).collect())
+    assert got == by_id(brute(400))
+    assert [x[2] for x in got] == [0, 0, 400, 0, 0, 400, 900, 0, 0, 0]
+    shorter = by_id(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 394, with_text=False).collect())
+    assert shorter == by_id(brute(394))
+    assert all(x[2] >= 394 for x in shorter[:6])
+
+
 def test_next_document_and_likeness(spark, docs):
     one = docs.dropDuplicates(["doc_id"]).select("doc_id", "text").fillna("", ["text"])
     got = {r.doc_id: r for r in fingerprints.with_next(one, block_docs=7).collect()}
