@@ -214,6 +214,32 @@ def test_reconciled_forecasts_are_coherent(spark):
     assert wide.columns == ["level", "series", "cut", "pred", "pred_bottom_up", "pred_ols"] and wide.count() == len(names)
 
 
+def test_incoherence_of_odd_cells(spark):
+    """Missing values and nodes, unknown ones, repeated leaves and aggregates, cells of one kind of node alone, leaves seen once."""
+    cat = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "x")], "product_id long, category string, lab string")
+    members = hierarchy.membership(cat)
+    p1, p2, p3 = "total/a/x/1", "total/a/y/2", "total/b/x/3"
+    rows = [(1, p1, 2.0), (1, p2, 3.0), (1, p3, 4.0), (1, "total", 9.0), (1, "total/a", 5.0), (1, "total/b", 4.1), (1, "total/x", 6.0), (1, "total/y", 3.0), (1, "total/a/x", 2.0), (1, "total/a/y", 3.0)]
+    # A missing leaf and aggregate, an unknown node and one without a name, a repeated leaf and a repeated aggregate.
+    rows += [(2, p1, None), (2, p2, 3.0), (2, p2, 3.0), (2, "total", 6.0), (2, "total", 7.0), (2, "total/a", None), (2, "total/z", 1.0), (2, None, 1.0)]
+    # Leaves alone, aggregates alone, and a leaf of 0 twice, which is its own sum.
+    rows += [(3, p3, 1.0), (4, "total", 1.0), (5, p1, 0.0), (5, p1, 0.0), (5, "total", 0.0), (None, p2, 1.0), (None, "total/y", 1.0)]
+    nodes = spark.createDataFrame(rows, "cut int, series string, pred double")
+    found = hierarchy.incoherent(nodes, members, "pred", ["cut"])
+    assert found.columns == ["series", "cut", "pred", "expected"]
+    above = lambda *names: [n for n in ("total", *names)]
+    want = [(1, "total/b/x", None, 4.0), (1, "total/b", 4.1, 4.0)]
+    want += [(2, p1, None, None), (2, p2, 3.0, 6.0), (2, p2, 3.0, 6.0), (2, "total", 7.0, 6.0), (2, "total/a", None, 6.0), (2, "total/y", None, 6.0), (2, "total/a/y", None, 6.0), (2, "total/x", None, None), (2, "total/a/x", None, None)]
+    want += [(2, "total/z", 1.0, None), (2, None, 1.0, None)]
+    want += [(3, n, None, 1.0) for n in above("total/b", "total/x", "total/b/x")] + [(4, "total", 1.0, None)]
+    want += [(5, n, None, 0.0) for n in ("total/a", "total/x", "total/a/x")]
+    # Rows without a cut are a cell like any other.
+    want += [(None, n, None, 1.0) for n in above("total/a", "total/a/y")]
+    order = lambda r: tuple((x is None, str(x)) for x in r)
+    got = [(r.cut, r.series, r.pred, r.expected) for r in found.collect()]
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
 def test_catalog_is_never_broadcast(spark):
     # A packed catalog looks small to the optimizer, and its broadcast fills the driver.
     cat = spark.range(300).selectExpr("id product_id", "concat('c', id % 3) category", "concat('l', id % 5) lab")
