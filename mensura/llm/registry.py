@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mensura.llm import fingerprints, media, mixing, neardup, packing, pii, ppm, quality, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_substring_dedup": substrings.query,
+    "op1_substring_dedup": substrings.query_with_passages,
     "op2_fingerprints": fingerprints.query,
     "op3_pii": pii.query,
     "op4_toxicity": toxicity.query,

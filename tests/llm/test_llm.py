@@ -105,6 +105,63 @@ def test_registered_repeats_begin_at_400_bytes(spark, tmp_path):
     assert all(x[2] >= 394 for x in shorter[:6])
 
 
+def test_registered_query_reports_passages_of_over_50_words(spark, tmp_path):
+    """A passage of over 50 words but under 400 bytes that two documents have is reported, beside the columns of the contract."""
+    import __spark_entry__
+
+    rng = random.Random(5)
+    words = lambda k: " ".join("".join(rng.choice("abcdefghijé") for _ in range(rng.randint(2, 5))) for _ in range(k))
+    fifty, over, longer = words(50), words(51), words(90)
+    assert len(over.encode()) < 400
+    values = [f"{words(40)} X{k} {p} Y{k} {words(30)}" for p in (fifty, over, longer) for k in range(2)]
+    values += [f"{words(9)} {over} {words(9)} {over}", f"{words(5)} {longer[: len(longer) // 2]}", over.replace(" ", "\n"), words(300), None, "", " ".join(["le", "la"] * 60), " ".join(["le", "la"] * 40)]
+    own = words(60)
+    values += [f"{own} {words(5)} {own}", values[9]]
+    rows = [(i if i else None, t) for i, t in enumerate(values)]
+    rows += [rows[-3], (None, "twice " + own[: len(own) // 2]), (7, values[7])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    tokens, holders = [(t or "").encode().split() for _, t in rows], {}
+    for k, w in enumerate(tokens):
+        for i in range(len(w) - 50):
+            holders.setdefault(tuple(w[i : i + 51]), set()).add(k)
+    want = []
+    for (d, t), w in zip(rows, tokens, strict=True):
+        covered = np.zeros(len(w), int)
+        for i in range(len(w) - 50):
+            if len(holders[tuple(w[i : i + 51])]) > 1:
+                covered[i : i + 51] = 1
+        want.append((d or 0, len((t or "").encode()), int(covered.sum()), int((np.diff(np.concatenate([[0], covered])) == 1).sum())))
+    found = __spark_entry__.queries()["op1_substring_dedup"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_shared_words, r.n_shared_passages) for r in found) == sorted(want)
+    got = {r.doc_id: r for r in found}
+    assert [got[k].n_shared_words for k in (1, 2, 3, 4, 5, 6)] == [0, 51, 51, 90, 90, 102] and got[2].n_removed == got[3].n_removed == 0
+    key = lambda r: (r[0] or 0, *r[1:5])
+    assert sorted(map(key, found)) == sorted(map(key, substrings.query(spark, str(tmp_path)).collect()))
+
+
+def test_segments_left_out_share_no_window():
+    """Of segments with one anchor those that share a window of the least length stay, and most others go."""
+    rng = random.Random(2)
+    for least in (48, 49, 60, 100, 400):
+        data = [bytes(rng.choice(b"ab") for _ in range(least - 48)) for _ in range(3)]
+        gram = bytes(rng.choice(b"cdefgh") for _ in range(48))
+        strings = []
+        for _ in range(30):
+            left, right = rng.choice(data), rng.choice(data)
+            a, b = (rng.randint(0, least - 48) for _ in range(2))
+            a = max(a, least - 48 - b)
+            strings.append(left[least - 48 - a :] + gram + right[:b])
+        raw = np.frombuffer(gram, np.uint8)
+        anchor = np.repeat(common.RangeHash(raw)(np.array([0]), np.array([48])).view(np.int64), len(strings))
+        stays = substrings.can_share(anchor, strings, least)
+        shares = np.array([x.any() for x in repeated_starts(strings, least)])
+        assert not (shares & ~stays).any()
+        lone = [bytes(rng.choice(b"ab") for _ in range(200)) + gram + bytes(rng.choice(b"ab") for _ in range(200)) for _ in range(9)]
+        if least == 400:
+            assert not substrings.can_share(anchor[:9], lone, least).any()
+
+
 def test_next_document_and_likeness(spark, docs):
     one = docs.dropDuplicates(["doc_id"]).select("doc_id", "text").fillna("", ["text"])
     got = {r.doc_id: r for r in fingerprints.with_next(one, block_docs=7).collect()}
