@@ -105,10 +105,12 @@ def test_registered_repeats_begin_at_400_bytes(spark, tmp_path):
     assert all(x[2] >= 394 for x in shorter[:6])
 
 
-def test_registered_query_reports_passages_of_over_50_words(spark, tmp_path):
+@pytest.mark.parametrize("often", [10_000, 2])
+def test_registered_query_reports_passages_of_over_50_words(spark, tmp_path, monkeypatch, often):
     """A passage of over 50 words but under 400 bytes that two documents have is reported, beside the columns of the contract."""
     import __spark_entry__
 
+    monkeypatch.setattr(substrings, "OFTEN", often)
     rng = random.Random(5)
     words = lambda k: " ".join("".join(rng.choice("abcdefghijé") for _ in range(rng.randint(2, 5))) for _ in range(k))
     fifty, over, longer = words(50), words(51), words(90)
